@@ -148,7 +148,7 @@ class WordBpe:
         """Ids of each distinct chunk, as little-endian unsigned 32-bit bytes."""
         cut, by_size = {}, {}
         for c in chunks:
-            if c in self.special:
+            if c[0] == " ":
                 cut[c] = [c]
                 continue
             cut[c] = words = [w if w.__class__ is bytes else w.encode() for w in self.split(c)]
@@ -157,7 +157,7 @@ class WordBpe:
                     by_size[n].add(w)
                 else:
                     by_size[n] = {w}
-        known: dict = {k: np.array([v], "<u4").tobytes() for k, v in self.special.items()}
+        known: dict = {" " + k: np.array([v], "<u4").tobytes() for k, v in self.special.items()}
         for size, found in by_size.items():
             found = list(found)
             known.update(zip(found, self.merge_short(found) if size <= SHORT else map(self.merge_long, found), strict=True))
@@ -168,7 +168,7 @@ class WordBpe:
         if self.cut and "<|" in text:
             out: list[str] = []
             for part in self.cut.split(text):
-                out += [part] if part in self.special else self.plain(part)
+                out += [" " + part] if part in self.special else self.plain(part)  # no other chunk has a space
             return out
         return self.plain(text)
 

@@ -23,6 +23,7 @@ BROADCAST_ROWS = 500_000
 HOT_KEYS = 10_000
 #: Arrow batches given to Python are cut so that a worker's memory stays bounded.
 ROWS_PER_BATCH = 2_000
+_HELD: list = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,12 +53,13 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_tessera_shipped", False):
         return
     root = Path(__file__).resolve().parents[1]
-    with tempfile.TemporaryDirectory() as d:
-        to = Path(d, f"{root.name}-{uuid.uuid4().hex[:8]}.zip")
-        with zipfile.ZipFile(to, "w") as z:
-            for p in root.rglob("*.py"):
-                z.write(p, p.relative_to(root.parent))
-        sc.addPyFile(str(to))
+    held = tempfile.TemporaryDirectory(prefix="tessera-code-")  # the driver serves the file as long as it runs
+    to = Path(held.name, f"{root.name}.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for p in root.rglob("*.py"):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(to))
+    _HELD.append(held)
     sc._tessera_shipped = True
 
 
