@@ -122,6 +122,11 @@ def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFram
     return docs.join(gone, docs[id_col] == gone["drop_id"], "left_anti")
 
 
+def _content(edges: DataFrame):
+    """Number and order-free digest of edges, to tell whether a round changed them."""
+    return edges.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v"))).first()
+
+
 def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (a, b long).
 
@@ -130,6 +135,7 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     """
     und = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     cur = materialize(und, f"{name}-0")
+    now = _content(cur)
     for k in range(max_rounds):
         both = cur.select("u", "v").union(cur.select(F.col("v"), F.col("u")).toDF("u", "v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
@@ -138,9 +144,8 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
         low2 = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
         small_ = large.join(low2, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
         new = materialize(small_.where("u != v").distinct(), f"{name}-{k + 1}")
-        left = new.exceptAll(cur).isEmpty() and new.count() == cur.count()
-        cur = new
-        if left:
+        cur, before, now = new, now, _content(new)
+        if now == before:
             break
     else:
         raise RuntimeError("components did not converge")
