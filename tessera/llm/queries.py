@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, packing, quality, sharding, simhash, warc
+from tessera.llm import bpe, exact_dedup, packing, quality, sharding, simhash, suffix_dedup, warc
 
 
 def word_bpe_path() -> str:
@@ -46,9 +46,13 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_read(spark, sf_dir, "documents"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_exact_dedup, op4_quality_rules, op5_warc_round_trip, op6_sharding, op8_best_fit_packing, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_exact_dedup, op4_quality_rules, op5_warc_round_trip, op6_sharding, op8_best_fit_packing, op9_suffix_array_dedup, op10_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
