@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, exact_dedup, packing, quality, sharding, simhash, suffix_dedup, warc
+from tessera.llm import bpe, exact_dedup, licenses, packing, quality, sharding, simhash, suffix_dedup, token_counts, warc
 
 
 def word_bpe_path() -> str:
@@ -17,6 +17,12 @@ def word_bpe_path() -> str:
     return os.environ.get("TESSERA_WORD_BPE") or public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces_path() -> str:
+    import public_tokenizers
+
+    return os.environ.get("TESSERA_PIECES") or public_tokenizers.path("piece_bpe_32k.model")
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -25,6 +31,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_read(spark, sf_dir, "documents"), word_bpe_path())
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"), keep="largest")
     return out.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
@@ -42,6 +52,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_read(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(_read(spark, sf_dir, "documents"), pieces_path())
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), word_bpe_path())
 
@@ -54,5 +68,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_exact_dedup, op4_quality_rules, op5_warc_round_trip, op6_sharding, op8_best_fit_packing, op9_suffix_array_dedup, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_license_scan, op3_exact_dedup, op4_quality_rules, op5_warc_round_trip, op6_sharding, op7_token_counts, op8_best_fit_packing, op9_suffix_array_dedup, op10_simhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
