@@ -1,0 +1 @@
+"""Operators of the engine, declared as registered queries."""

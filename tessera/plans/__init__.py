@@ -1,0 +1 @@
+"""Plans of the engine, declared as registered queries."""

@@ -1,0 +1 @@
+"""Sources of the engine, declared as registered queries."""

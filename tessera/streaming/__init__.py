@@ -1,0 +1 @@
+"""Streaming of the engine, declared as registered queries."""
