@@ -71,7 +71,7 @@ def line_passes(line: Column) -> Column:
 
 
 def _judged(docs: DataFrame, text_col: str) -> DataFrame:
-    """docs with one struct column ``_q`` of everything the rules say."""
+    """docs with one struct column ``__tessera_q`` of everything the rules say."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     told = repeated_words(words_of(text))
 
@@ -88,7 +88,7 @@ def _judged(docs: DataFrame, text_col: str) -> DataFrame:
         )
 
     return docs.withColumn(
-        "_q",
+        "__tessera_q",
         F.struct(
             told.alias("words"),
             F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
@@ -98,20 +98,20 @@ def _judged(docs: DataFrame, text_col: str) -> DataFrame:
     )
 
 
-_BASE = "(_q.words.n_words < {0} or 100 * _q.words.n_repeat_words > {1} * _q.words.n_words)".format(MIN_WORDS, MAX_REPEATED)
-_KEPT = f"(not {_BASE} and _q.lines.enough)"
+_BASE = "(__tessera_q.words.n_words < {0} or 100 * __tessera_q.words.n_repeat_words > {1} * __tessera_q.words.n_words)".format(MIN_WORDS, MAX_REPEATED)
+_KEPT = f"(not {_BASE} and __tessera_q.lines.enough)"
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_bad_lines)."""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return _judged(source, "text").selectExpr(
-        "doc_id", "_q.words.n_words", "_q.word_chars", "_q.n_symbols", "_q.lines.n_dup_lines", "_q.words.n_repeat_words", f"{_BASE} base_failed", f"{_KEPT} kept", "_q.lines.n_bad_lines"
+        "doc_id", "__tessera_q.words.n_words", "__tessera_q.word_chars", "__tessera_q.n_symbols", "__tessera_q.lines.n_dup_lines", "__tessera_q.words.n_repeat_words", f"{_BASE} base_failed", f"{_KEPT} kept", "__tessera_q.lines.n_bad_lines"
     )
 
 
 def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that the rules keep, with all their columns; the text is that of the lines that pass."""
     out = _judged(docs, text_col).where(F.expr(_KEPT))
-    text = F.when(F.expr("_q.lines.n_bad_lines = 0"), F.col(text_col)).otherwise(F.array_join("_q.lines.lines", "\n"))
-    return out.withColumn(text_col, text).drop("_q")
+    text = F.when(F.expr("__tessera_q.lines.n_bad_lines = 0"), F.col(text_col)).otherwise(F.array_join("__tessera_q.lines.lines", "\n"))
+    return out.withColumn(text_col, text).drop("__tessera_q")

@@ -7,7 +7,8 @@ anchors occur in two or more documents (4 bytes an anchor are shuffled) and mark
 fixed size, the only thing broadcast: it may let some anchors pass in vain, more of them as it fills up,
 but never holds one back. A second scan cuts the segments of windows that share a passing anchor. They
 are shuffled by anchor, equal ones collapsed before, and put in blocks whose suffix arrays (see gsaca)
-give each window the smallest document that holds it. Spans go back to the documents by id.
+give each window the smallest document that holds it. A segment that many documents of a scan share (hot)
+moves without its places, which get the verdict by a lookup. Spans go back to the documents by id.
 
 Defined results: a null or empty text, or one under WIDTH bytes, loses nothing; a null id counts as
 smaller than any other; rows that repeat an id and a text don't remove each other; spans are merged
@@ -35,6 +36,12 @@ WIDTH, GRAM = 50, 16
 MAP_BITS = 28
 #: Bytes of text scanned at once, of texts before a flush, and of segments in a suffix array.
 AT_ONCE, FLUSH, BLOCK = 1 << 19, 32_000_000, 1 << 18
+#: Bytes that a table of segments may take in a worker, about, before it is flushed.
+HELD = 60_000_000
+#: Occurrences of a segment in a flush that travel with it; more are hot and get their verdict by a lookup.
+TRAVEL = 64
+#: Bytes of distinct segments under one anchor; the windows of an anchor over that go under anchors of their own.
+ANCHOR_BYTES = 8_000_000
 _LOWEST = -(2**63)
 _M64 = 2**64 - 1
 
@@ -131,18 +138,26 @@ def _mapped(batches: Iterator[pa.RecordBatch], slice_bits: int) -> Iterator[pa.R
         yield close()
 
 
-def _segments(batches: Iterator[pa.RecordBatch], width: int, passing) -> Iterator[pa.RecordBatch]:
+_SEGMENT = "anchor long, segment binary, size long, low long, high long, hot boolean, docs array<long>, texts array<long>, starts array<int>"
+
+
+def _flushed(table: dict[bytes, list], travel: int) -> pa.RecordBatch:
+    """Rows of distinct segments; occurrences beyond ``travel`` are in rows of their own, marked hot."""
+    cols: list[list] = [[] for _ in range(9)]
+    for s, (a, d, t, p) in table.items():
+        hot = len(d) > travel
+        for row in ([(a, s, len(s), min(d), max(d), hot, [], [], []), (a, s, 0, 0, 0, None, d, t, p)] if hot else [(a, s, len(s), min(d), max(d), False, d, t, p)]):
+            for c, x in zip(cols, row, strict=True):
+                c.append(x)
+    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["anchor", "segment", "size", "low", "high", "hot", "docs", "texts", "starts"])
+
+
+def _segments(batches: Iterator[pa.RecordBatch], width: int, travel: int, passing) -> Iterator[pa.RecordBatch]:
     """Distinct segments of a flush, with the documents and places they occur in."""
     bits = np.frombuffer(passing.value, np.uint8)
     table: dict[bytes, list] = {}
-    size = 0
-    names = ["anchor", "key", "segment", "low", "high", "docs", "texts", "starts"]
-    kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-
-    def flush():
-        rows = [(a, xxhash.xxh3_128_digest(s), s, min(d), max(d), d, t, p) for s, (a, d, t, p) in table.items()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
+    held = 0
     for ids, docs, (doc, pos, wins, u) in _scans(batches, width):
         at = u >> np.uint64(64 - MAP_BITS)
         keep = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
@@ -154,73 +169,140 @@ def _segments(batches: Iterator[pa.RecordBatch], width: int, passing) -> Iterato
             s = text[p : p + w + width - 1]
             if (row := table.get(s)) is None:
                 table[s] = row = [a, [], [], []]
-                size += len(s)
+                held += len(s) + 800
             row[1].append(ids[d])
             row[2].append(tag)
             row[3].append(p)
-            size += 20
-        if size >= FLUSH:
-            yield flush()
-            table, size = {}, 0
+            held += 100
+        if held >= HELD:
+            yield _flushed(table, travel)
+            table, held = {}, 0
     if table:
-        yield flush()
+        yield _flushed(table, travel)
+
+
+def _single_windows(batches: Iterator[pa.RecordBatch], width: int, travel: int) -> Iterator[pa.RecordBatch]:
+    """Segments of an overfull anchor as windows, each under an anchor of its own bytes."""
+    table: dict[bytes, list] = {}
+    held = 0
+    for b in batches:
+        for segment, docs, texts_, starts in zip(*(b.column(k).to_pylist() for k in ("segment", "docs", "texts", "starts")), strict=True):
+            for o in range(len(segment) - width + 1):
+                w = segment[o : o + width]
+                if (row := table.get(w)) is None:
+                    table[w] = row = [int(np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64)), [], [], []]
+                    held += width + 800
+                row[1] += docs
+                row[2] += texts_
+                row[3] += [p + o for p in starts]
+                held += 100 * len(docs)
+            if held >= HELD:
+                yield _flushed(table, travel)
+                table, held = {}, 0
+    if table:
+        yield _flushed(table, travel)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of distinct segments, cut between anchors, of rows sorted by anchor."""
-    last, one, rows, size = None, {}, [], 0
+    """Blocks of distinct segments, cut between anchors, of rows sorted by anchor.
+
+    An anchor of one document has nothing to lose and is left out. A segment that is alone under its
+    anchor equals no other, so it is given its smallest document here and is not sorted.
+    """
+    last, one = None, {}
+    rows: list[tuple] = []
+    size = 0
 
     def close_anchor():
         nonlocal size
-        for k, (s, low, high, n) in one.items():
-            rows.append((k, s, low, high, n))
-            size += len(s)
+        if one and (len(one) > 1 or next(iter(one.values()))[0] < next(iter(one.values()))[1]):
+            if min(x[0] for x in one.values()) < max(x[1] for x in one.values()):
+                alone = len(one) == 1
+                for s, (low, _, hot, docs, tags, starts) in one.items():
+                    rows.append((s, low, hot, alone, docs, tags, starts))
+                    size += len(s)
         one.clear()
 
     def block():
-        keys, segs, low, high, n = (list(x) for x in zip(*rows, strict=True))
-        out = [b"".join(keys), np.array([len(s) - width + 1 for s in segs], "<i4").tobytes(), np.array(high, "<i8").tobytes(), np.array(n, "<i8").tobytes(), gsaca.pack_block(segs, low)]
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], ["keys", "wins", "high", "n", "block"])
+        flat = lambda k, kind: np.array([x for r in rows for x in r[k]], kind).tobytes()
+        sort = [r for r in rows if not r[3]]
+        out = [
+            np.array([len(r[0]) - width + 1 for r in rows], "<i4").tobytes(),
+            np.array([r[3] for r in rows], "?").tobytes(),
+            np.array([r[1] for r in rows], "<i8").tobytes(),
+            np.array([len(r[4]) for r in rows], "<i4").tobytes(),
+            flat(4, "<i8"), flat(5, "<i8"), flat(6, "<i4"),
+            np.array([r[2] for r in rows], "?").tobytes(),
+            b"".join(xxhash.xxh3_128_digest(r[0]) for r in rows if r[2]),
+            gsaca.pack_block([r[0] for r in sort], [r[1] for r in sort]),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], _BLOCK_NAMES)
 
     for b in batches:
-        for anchor, key, segment, low, high, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for anchor, segment, low, high, hot, docs, tags, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
             if anchor != last:
                 close_anchor()
                 last = anchor
                 if size >= BLOCK:
                     yield block()
                     rows, size = [], 0
-            if (had := one.get(key)) is None:
-                one[key] = [segment, low, high, n]
+            if (had := one.get(segment)) is None:
+                one[segment] = [low, high, hot, docs, tags, starts]
             else:
-                had[1:] = min(had[1], low), max(had[2], high), had[3] + n
+                had[:3] = min(had[0], low), max(had[1], high), had[2] or hot
+                had[3] += docs
+                had[4] += tags
+                had[5] += starts
     close_anchor()
     if rows:
         yield block()
 
 
-def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, n, first window, windows, smallest document) of segments of which a part goes somewhere."""
+_BLOCK_NAMES = ["wins", "alone", "low", "count", "docs", "tags", "starts", "hot", "keys", "block"]
+_BLOCK_SCHEMA = ", ".join(f"{c} binary" for c in _BLOCK_NAMES)
+
+
+def _spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Removed spans (m_id, m_tag, s, e) of occurrences that travelled; for hot segments (key, s, e, low) of runs of windows."""
+    for b in batches:
+        for wins, alone, low, count, docs, tags, starts, hot, keys, minima in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            read = lambda x, kind: np.frombuffer(x, kind).astype(np.int64 if kind != "?" else bool)
+            wins, alone, low, count, hot = read(wins, "<i4"), read(alone, "?"), read(low, "<i8"), read(count, "<i4"), read(hot, "?")
+            lows = np.repeat(low, wins)
+            lows[np.repeat(~alone, wins)] = read(minima, ">i8")
+            seg, begin = np.repeat(np.arange(len(wins)), wins), np.cumsum(wins) - wins
+            first = np.flatnonzero(np.r_[True, (lows[1:] != lows[:-1]) | (seg[1:] != seg[:-1])])
+            run_seg, run_at, run_n, run_low = seg[first], first - begin[seg[first]], np.diff(np.r_[first, len(lows)]), lows[first]
+            runs = np.bincount(run_seg, minlength=len(wins))
+            run_first = np.cumsum(runs) - runs
+            occ_seg = np.repeat(np.arange(len(wins)), count)
+            docs, tags, starts = read(docs, "<i8"), read(tags, "<i8"), read(starts, "<i4")
+            times = runs[occ_seg]
+            occ = np.repeat(np.arange(len(docs)), times)
+            run = np.arange(len(occ)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(run_first[occ_seg], times)
+            hit = run_low[run] < docs[occ]
+            occ, run = occ[hit], run[hit]
+            at = starts[occ] + run_at[run]
+            none = pa.nulls(len(at), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(docs[occ]), pa.array(tags[occ]), pa.array(at), pa.array(at + run_n[run] + width - 1), none, pa.array(run_low[run])], _SPAN_NAMES)
+            if hot.any():
+                number = np.cumsum(hot) - 1
+                mine = np.flatnonzero(hot[run_seg])
+                key = pa.array([keys[16 * k : 16 * k + 16] for k in number[run_seg[mine]].tolist()], pa.binary())
+                none = pa.nulls(len(mine), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(run_at[mine]), pa.array(run_at[mine] + run_n[mine] + width - 1), key, pa.array(run_low[mine])], _SPAN_NAMES)
+
+
+_SPAN_NAMES = ["m_id", "m_tag", "s", "e", "key", "low"]
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
-        for keys, wins, high, n, minima in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            low = np.frombuffer(minima, ">i8").astype(np.int64)
-            wins, high, n = np.frombuffer(wins, "<i4").astype(np.int64), np.frombuffer(high, "<i8"), np.frombuffer(n, "<i8")
-            seg = np.repeat(np.arange(len(wins)), wins)
-            start = np.cumsum(wins) - wins
-            first = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (seg[1:] != seg[:-1])]) if len(low) else np.zeros(0, np.int64)
-            count = np.diff(np.r_[first, len(low)])
-            of: dict[int, list] = {}
-            for s, o, c, m in zip(seg[first].tolist(), (first - start[seg[first]]).tolist(), count.tolist(), low[first].tolist(), strict=True):
-                if m < high[s]:
-                    of.setdefault(s, []).append((o, c, m))
-            rows += [(keys[16 * s : 16 * s + 16], int(n[s]), *map(list, zip(*x, strict=True))) for s, x in of.items()]
-        if rows:
-            kinds = (pa.binary(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["key", "n", "at", "wins", "low"])
-
-
-def marks(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", engine: str = "jvm") -> DataFrame:
+        key = pa.array([xxhash.xxh3_128_digest(x) for x in b.column(0).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([key, *b.columns[1:]], ["key", "docs", "texts", "starts"])
+
+
+def marks(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", engine: str = "jvm", travel: int = TRAVEL, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
     """(m_id, m_tag, whole, starts, ends) of the texts that lose bytes; m_tag is the text's xxhash64."""
     spark = docs.sparkSession
     ship(spark)
@@ -241,31 +323,41 @@ def marks(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
     for row in mapped.toLocalIterator():  # at most 32 MB in all
         bits[row.slice * part : (row.slice + 1) * part] = zlib.decompress(row.bits)
     passing = spark.sparkContext.broadcast(bytes(bits))
-    found = own.mapInArrow(lambda b: _segments(b, width, passing), "anchor long, key binary, segment binary, low long, high long, docs array<long>, texts array<long>, starts array<int>")
-    found = materialize(found, "suffix-segments")
+    found = materialize(own.mapInArrow(lambda b: _segments(b, width, travel, passing), _SEGMENT), "suffix-segments")
     passing.unpersist()
-    ready = found.select("anchor", "key", "segment", "low", "high", F.size("docs").cast("long").alias("n")).repartition("anchor").sortWithinPartitions("anchor")
-    blocks = ready.mapInArrow(lambda b: _blocks(b, width), "keys binary, wins binary, high binary, n binary, block binary")
+    over = materialize(found.groupBy("anchor").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > anchor_bytes).select("anchor"), "suffix-overfull")
+    if not over.isEmpty():
+        side = F.broadcast(over) if small(over) else over.hint("shuffle_hash")
+        single = materialize(found.join(side, "anchor", "left_semi").select("segment", "docs", "texts", "starts").mapInArrow(lambda b: _single_windows(b, width, travel), _SEGMENT), "suffix-windows")
+        found = found.join(side, "anchor", "left_anti").select(*single.columns).union(single)
+    ready = found.where("hot is not null").select("anchor", "segment", "low", "high", "hot", "docs", "texts", "starts").repartition("anchor").sortWithinPartitions("anchor")
+    blocks = ready.mapInArrow(lambda b: _blocks(b, width), _BLOCK_SCHEMA)
     if engine == "jvm":
-        name = jvm.register(spark, f"tessera_window_minima_{width}", gsaca.CLASS, gsaca.SOURCE.replace("WIDTH", str(width)), "binary")
-        solved = blocks.select("keys", "wins", "high", "n", F.expr(f"{name}(block)").alias("minima"))
+        source = gsaca.SOURCE.replace("WIDTH", str(width)).replace("WindowMinima", f"WindowMinima{width}")  # class names are global
+        name = jvm.register(spark, f"tessera_window_minima_{width}", f"{gsaca.CLASS}{width}", source, "binary")
+        solved = blocks.select(*_BLOCK_NAMES[:-1], F.expr(f"{name}(block)").alias("minima"))
     else:
-        solved = blocks.mapInArrow(lambda b: _python_minima(b, width), "keys binary, wins binary, high binary, n binary, minima binary")
-    verdicts = materialize(solved.mapInArrow(_verdicts, "key binary, n long, at array<int>, wins array<int>, low array<long>"), "suffix-verdicts")
-    places = found.select("key", F.explode(F.arrays_zip("docs", "texts", "starts")).alias("o")).select("key", "o.docs", "o.texts", "o.starts")
-    total = told.n if told.n else 0
-    hit = lookup(places, verdicts, "key", "n", max(total, (told.bytes or 0) // 1000)).where("low is not null")
-    spans = hit.select("docs", "texts", "starts", F.explode(F.arrays_zip("at", "wins", "low")).alias("v")).where("v.low < docs")
-    spans = spans.groupBy(F.col("docs").alias("m_id"), F.col("texts").alias("m_tag")).agg(F.sort_array(F.collect_list(F.struct((F.col("starts") + F.col("v.at")).alias("s"), (F.col("starts") + F.col("v.at") + F.col("v.wins") + (width - 1)).alias("e")))).alias("spans"))
-    spans = spans.select("m_id", "m_tag", F.lit(False).alias("whole"), F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"))
+        solved = blocks.mapInArrow(lambda b: _python_minima(b, width), _BLOCK_SCHEMA.replace("block", "minima"))
+    spans = materialize(solved.mapInArrow(lambda b: _spans(b, width), "m_id long, m_tag long, s long, e long, key binary, low long"), "suffix-spans")
+    hot = spans.where("key is not null").groupBy("key").agg(F.collect_list(F.struct("s", "e", "low")).alias("runs"))
+    spans = spans.where("key is null").select("m_id", "m_tag", "s", "e")
+    if not hot.isEmpty():
+        places = found.where("hot is null").select("segment", "docs", "texts", "starts").mapInArrow(_keyed, "key binary, docs array<long>, texts array<long>, starts array<int>")
+        places = materialize(places.select("key", F.explode(F.arrays_zip("docs", "texts", "starts")).alias("o")).select("key", "o.docs", "o.texts", "o.starts"), "suffix-hot-places")
+        sizes = places.groupBy("key").agg(F.count("docs").alias("n"))
+        index = materialize(hot.join(sizes, "key"), "suffix-hot-runs")
+        hit = lookup(places, index, "key", "n", places.count()).select("docs", "texts", "starts", F.explode("runs").alias("r")).where("r.low < docs")
+        spans = spans.union(hit.select("docs", "texts", F.col("starts") + F.col("r.s"), F.col("starts") + F.col("r.e")))
+    lists = spans.groupBy("m_id", "m_tag").agg(F.sort_array(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("spans"))
+    lists = lists.select("m_id", "m_tag", F.lit(False).alias("whole"), F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"))
     none = F.array().cast("array<int>")
-    return materialize(spans.union(copies.select("m_id", "m_tag", F.lit(True), none, none)), "suffix-marks")
+    return materialize(lists.union(copies.select("m_id", "m_tag", F.lit(True), none, none)), "suffix-marks")
 
 
 def _python_minima(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [gsaca.window_minima(x, width).astype(">i8").tobytes() for x in b.column(4).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out, pa.binary())], ["keys", "wins", "high", "n", "minima"])
+        out = [gsaca.window_minima(x, width).astype(">i8").tobytes() for x in b.column(len(_BLOCK_NAMES) - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.binary())], [*_BLOCK_NAMES[:-1], "minima"])
 
 
 def _marked(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -291,10 +383,10 @@ def left(raw: bytes, spans: list[list[int]]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(at[::2], at[1::2], strict=True))
 
 
-def digests(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", engine: str = "jvm") -> DataFrame:
+def digests(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per row of docs."""
     source = texts(docs, id_col, text_col)
-    beside = _marked(source, marks(source, width, engine=engine), "doc_id", "text").select("doc_id", "text", "_m_whole", "_m_starts", "_m_ends")
+    beside = _marked(source, marks(source, width, **options), "doc_id", "text").select("doc_id", "text", "_m_whole", "_m_starts", "_m_ends")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -312,10 +404,10 @@ def digests(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
     return beside.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", engine: str = "jvm") -> DataFrame:
+def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """docs with all columns, repeated bytes taken out of the text."""
     columns = docs.columns
-    beside = _marked(docs, marks(docs, width, id_col, text_col, engine), id_col, text_col)
+    beside = _marked(docs, marks(docs, width, id_col, text_col, **options), id_col, text_col)
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, whole: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
