@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -49,9 +48,18 @@ def words_of(text: str) -> list[str]:
     return _WORDS.findall(text.lower())
 
 
-@lru_cache(maxsize=200_000)
-def _word(w: str) -> int:
-    return xxhash.xxh64_intdigest(w)
+class _Hashes(dict):
+    """Hashes of words; forgotten when they are too many."""
+
+    def __missing__(self, w: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[w] = h = xxhash.xxh64_intdigest(w)
+        return h
+
+
+_word = _Hashes().__getitem__
+_TOP = np.uint64(2**64 - 1)
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -84,20 +92,36 @@ class Scanner:
             if s:
                 self.classes.setdefault(1 << (len(s) - 1).bit_length(), []).append(k)
         low = [np.array([(hashes(w) * m).min() for m in _MIX]) for w in words if w]
+        self.largest = max(self.classes, default=1)
+        #: Shingles of a text held at once, a whole number of blocks of every class.
+        self.stride = -(-4_096 // self.largest) * self.largest
         self.low = dict(zip([k for k, w in enumerate(words) if w], low, strict=True))
 
-    def retrieve(self, h: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(template, first, last shingle) of windows that share a band with a template."""
-        for size, members in self.classes.items():
-            blocks = np.arange(0, len(h), size)
-            hit: set[tuple[int, int]] = set()
-            for band, m in enumerate(_MIX):
-                low = np.minimum.reduceat(h * m, blocks)
-                both = np.minimum(low[:-1], low[1:]) if len(low) > 1 else low
-                for k in members:
-                    hit.update((k, w) for w in np.flatnonzero(both == self.low[k][band]).tolist())
-            for k, w in sorted(hit):
-                yield k, w * size, min(len(h), (w + 2) * size)
+    def retrieve(self, h: np.ndarray) -> set[tuple[int, int, int]]:
+        """(template, first, last shingle) of windows that share a band with a template.
+
+        Minima of blocks of a class are those of pairs of the next smaller class's, so all classes
+        together cost about two passes over the hashes of a text, for all bands at once.
+        """
+        out: set[tuple[int, int, int]] = set()
+        for lo in range(0, len(h), self.stride):
+            part = h[lo : lo + self.stride + 2 * self.largest]
+            low = part * _MIX[:, None]
+            size = 1
+            while True:
+                if size in self.classes:
+                    both = np.minimum(low[:, :-1], low[:, 1:]) if low.shape[1] > 1 else low
+                    for k in self.classes[size]:
+                        for w in np.flatnonzero((both == self.low[k][:, None]).any(0)).tolist():
+                            at = lo + w * size
+                            out.add((k, at, min(len(h), at + 2 * size)))
+                if size >= self.largest:
+                    break
+                if low.shape[1] % 2:
+                    low = np.hstack([low, np.full((BANDS, 1), _TOP)])
+                low = np.minimum(low[:, ::2], low[:, 1::2])
+                size *= 2
+        return out
 
     def scan(self, text: str) -> list[tuple[str, int, int, int]]:
         """(template, shingles held, shingles of the template, first word of the best window)."""
@@ -106,7 +130,7 @@ class Scanner:
         if not len(h):
             return []
         best: dict[int, tuple[int, int]] = {}
-        for k, lo, hi in self.retrieve(h):
+        for k, lo, hi in sorted(self.retrieve(h)):
             want = self.shingles[k]
             n = len(want & shingles(words[lo : hi + SHINGLE - 1]))
             if n >= MIN_CONTAINED * len(want) and n > best.get(k, (0, 0))[0]:
