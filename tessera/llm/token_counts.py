@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import python_batches, ship, texts
 
-MARK, NODES, WORDS, UNKNOWN = "▁", 700_000, 300_000, -10.0
+MARK, NODES, WORDS, UNKNOWN = "▁", 1_500_000, 500_000, -10.0
 
 
 @lru_cache(maxsize=2)
@@ -87,7 +87,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             words, tokens = [], []
             for text in part:
                 split = text.encode("utf-8", "surrogatepass").split()
-                for w in set(split) - known.keys():
+                for w in {w for w in split if w not in known}:
                     known[w] = trie.tokens(MARK + w.decode("utf-8", "surrogatepass"))
                 words.append(len(split))
                 tokens.append(sum(map(known.__getitem__, split)))
