@@ -2,10 +2,11 @@
 
 A byte goes if it lies in a ``WIDTH``-byte string that also starts in a document with a smaller id.
 Whole copies are told by digest first. In all other texts each window of WIDTH bytes has an anchor, its
-smallest hashed ``GRAM``-byte string; windows of equal bytes have equal anchors. A first scan finds which
-anchors occur in two or more documents (4 bytes an anchor are shuffled) and marks them in a bit map of
-fixed size, the only thing broadcast: it may let some anchors pass in vain, more of them as it fills up,
-but never holds one back. A second scan cuts the segments of windows that share a passing anchor. They
+smallest hashed ``GRAM``-byte string, and as many bytes again left or right of it; windows of equal bytes
+have equal anchors and an equal left or right side. A first scan finds which anchors with a side occur in
+two or more documents (4 bytes each are shuffled) and marks them in a bit map of fixed size, the only
+thing broadcast: it may let some pass in vain, more of them as it fills up, but never holds one back. A
+second scan cuts the segments of windows whose anchor passes with the side that they hold. They
 are shuffled by anchor, equal ones collapsed before, and put in blocks whose suffix arrays (see gsaca)
 give each window the smallest document that holds it. A segment that many documents of a scan share (hot)
 moves without its places, which get the verdict by a lookup. Spans go back to the documents by id.
@@ -25,7 +26,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import gsaca, jvm
@@ -46,32 +49,53 @@ _LOWEST = -(2**63)
 _M64 = 2**64 - 1
 
 
-def anchors(docs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, windows, anchor) of every run of windows with one anchor."""
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ h >> np.uint64(29)
+
+
+def anchors(docs: list[bytes], width: int) -> dict[str, np.ndarray]:
+    """Runs of windows with one anchor: document, first window, windows, anchor, and two keys of wider strings.
+
+    The anchor is the leftmost smallest of the hashed ``gram``-byte strings in a window. A window holds
+    ``side`` more bytes left or right of it, so equal windows have an equal left key (of those bytes and
+    the anchor) or right key. ``split`` gives the windows of a run that hold the left (before the first
+    number) and the right bytes (from the second on).
+    """
     size = np.array([len(d) for d in docs], np.int64)
     wins = np.maximum(size - width + 1, 0)
     total = int(wins.sum())
+    names = ("doc", "pos", "wins", "anchor", "left", "right", "has_left", "has_right", "split_left", "split_right")
     if not total:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+        return {k: np.zeros(0, np.uint64 if k in ("anchor", "left", "right") else bool if k[:3] == "has" else np.int64) for k in names}
     h = np.frombuffer(b"".join(docs), np.uint8).astype(np.uint64) + np.uint64(1)
-    gram, step, by = min(GRAM, width), 1, 0x9E3779B97F4A7C15
+    gram, step, by = min(GRAM, max(1, width // 2)), 1, 0x9E3779B97F4A7C15
     while step * 2 <= gram:
         h = h[:-step] * np.uint64(by) + h[step:]
         by, step = by * by & _M64, step * 2
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(29)
+    side = min(step, (width - step) // 2)
+    wide = h[: len(h) - side] * np.uint64(by) + h[side:]  # tells apart strings of step + side bytes
+    h = _mixed(h)
     span, have = width - step + 1, 1
+    x = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     while have * 2 <= span:
-        h = np.minimum(h[:-have], h[have:])
+        x = np.minimum(x[:-have], x[have:])
         have *= 2
     if span > have:
-        h = np.minimum(h[: -(span - have)], h[span - have :])
+        x = np.minimum(x[: -(span - have)], x[span - have :])
+    begin = np.cumsum(size) - size
     doc = np.repeat(np.arange(len(docs)), wins)
     pos = np.arange(total) - np.repeat(np.cumsum(wins) - wins, wins)
-    u = h[np.repeat(np.cumsum(size) - size, wins) + pos]
-    first = np.flatnonzero(np.r_[True, (u[1:] != u[:-1]) | (doc[1:] != doc[:-1])])
-    return doc[first], pos[first], np.diff(np.r_[first, total]), u[first]
+    at = (x[np.repeat(begin, wins) + pos] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    doc, pos, at, n = doc[first], pos[first], at[first], np.diff(np.r_[first, total])
+    place = at - begin[doc]
+    last = pos + n - 1
+    has_left, has_right = pos <= place - side, last >= place + step + side - width
+    wide = _mixed(wide)
+    left, right = wide[np.where(has_left, at - side, 0)] ^ np.uint64(0x5851F42D4C957F2D), wide[np.where(has_right, at, 0)]
+    columns = (doc, pos, n, h[at], left, right, has_left, has_right, np.minimum(last, place - side) + 1, np.maximum(pos, place + step + side - width))
+    return dict(zip(names, columns, strict=True))
 
 
 def _scans(batches: Iterator[pa.RecordBatch], width: int):
@@ -81,6 +105,17 @@ def _scans(batches: Iterator[pa.RecordBatch], width: int):
         yield ids, docs, anchors(docs, width)
 
 
+def _planes(keys: np.ndarray) -> bytes:
+    """Sorted 4-byte keys as their differences, byte by byte, compressed: about 2.5 bytes a key."""
+    steps = np.diff(keys, prepend=np.uint32(0)).astype("<u4")
+    return zstandard.ZstdCompressor(level=1).compress(steps.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _sorted(packed: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel(), dtype=np.uint32)
+
+
 def _seen(batches: Iterator[pa.RecordBatch], width: int, slice_bits: int) -> Iterator[pa.RecordBatch]:
     """(slice, anchors once each, those in several documents) of each flush; anchors as 4 bytes within a slice."""
     shift = np.uint64(64 - slice_bits - 32)
@@ -99,12 +134,13 @@ def _seen(batches: Iterator[pa.RecordBatch], width: int, slice_bits: int) -> Ite
         u = u[at]
         cut = np.searchsorted(u >> np.uint64(32), np.arange((1 << slice_bits) + 1, dtype=np.uint64))
         low = u.astype("<u4")
-        rows = [(k, low[a:b].tobytes(), low[a:b][several[a:b]].tobytes()) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
+        rows = [(k, _planes(low[a:b]), _planes(low[a:b][several[a:b]])) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["slice", "once", "several"])
 
-    for ids, docs, (doc, _, _, u) in _scans(batches, width):
-        if len(u):
-            held.append((u, doc + base))
+    for ids, docs, run in _scans(batches, width):
+        if len(run["doc"]):
+            u = np.concatenate([run["left"][run["has_left"]], run["right"][run["has_right"]]])
+            held.append((u, np.concatenate([run["doc"][run["has_left"]], run["doc"][run["has_right"]]]) + base))
         base += len(ids)
         size += sum(map(len, docs))
         if size >= FLUSH and held:
@@ -119,10 +155,10 @@ def _mapped(batches: Iterator[pa.RecordBatch], slice_bits: int) -> Iterator[pa.R
     last, parts = None, []
 
     def close():
-        once = np.concatenate([np.frombuffer(a, "<u4") for a, _ in parts])
+        once = np.concatenate([_sorted(a) for a, _ in parts])
         once.sort()
         rep = once[1:][once[1:] == once[:-1]]
-        rep = np.concatenate([rep, *[np.frombuffer(b, "<u4") for _, b in parts]])
+        rep = np.concatenate([rep, *[_sorted(b) for _, b in parts]])
         bits = np.zeros(1 << (MAP_BITS - slice_bits), bool)
         bits[rep >> np.uint32(32 + slice_bits - MAP_BITS)] = True
         return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)])], ["slice", "bits"])
@@ -138,93 +174,96 @@ def _mapped(batches: Iterator[pa.RecordBatch], slice_bits: int) -> Iterator[pa.R
         yield close()
 
 
-_SEGMENT = "anchor long, segment binary, size long, low long, high long, hot boolean, docs array<long>, texts array<long>, starts array<int>"
-
-
-def _flushed(table: dict[bytes, list], travel: int) -> pa.RecordBatch:
-    """Rows of distinct segments; occurrences beyond ``travel`` are in rows of their own, marked hot."""
-    cols: list[list] = [[] for _ in range(9)]
-    for s, (a, d, t, p) in table.items():
-        hot = len(d) > travel
-        for row in ([(a, s, len(s), min(d), max(d), hot, [], [], []), (a, s, 0, 0, 0, None, d, t, p)] if hot else [(a, s, len(s), min(d), max(d), False, d, t, p)]):
-            for c, x in zip(cols, row, strict=True):
-                c.append(x)
-    kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["anchor", "segment", "size", "low", "high", "hot", "docs", "texts", "starts"])
+_SEGMENTS = "bucket int, places boolean, packed binary"
+#: What a packed row holds: of segments, or of the places of one hot segment.
+_ENTRY = ("<i8", "<u4", "?", "<i8", "<i8", "<u4", "<i8", "<u4", "<u4", "S")
+_PLACES = ("S", "<i8", "<u4", "<u4")
+
+
+def _pack(columns: list) -> bytes:
+    raw = [c if c.__class__ is bytes else c.tobytes() for c in columns]
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(r) for r in raw], "<u4").tobytes() + b"".join(raw))
+
+
+def _unpack(packed: bytes, kinds: tuple[str, ...]) -> list:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    ends = np.cumsum(np.frombuffer(raw, "<u4", len(kinds))).tolist()
+    base = 4 * len(kinds)
+    parts = [raw[base + a : base + b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [x if k == "S" else np.frombuffer(x, k) for x, k in zip(parts, kinds, strict=True)]
+
+
+def _flushed(table: dict[bytes, list], travel: int, buckets: int, flush: int) -> pa.RecordBatch:
+    """Packed rows of distinct segments by bucket of anchor; places of hot segments are spread over all buckets."""
+    segments = list(table)
+    anchor = np.array([table[s][0] for s in segments], np.int64)
+    bucket = (anchor.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.lexsort((anchor, bucket))
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    rows = []
+    for k in np.flatnonzero(cut[1:] > cut[:-1]).tolist():
+        mine = order[cut[k] : cut[k + 1]].tolist()
+        entries = [table[segments[m]] for m in mine]
+        hot = [len(e[1]) > travel for e in entries]
+        for m, e, h in zip(mine, entries, hot, strict=True):
+            if h:
+                places = [xxhash.xxh3_128_digest(segments[m]), np.array(e[1], "<i8"), np.array(e[2], "<u4"), np.array(e[3], "<u4")]
+                rows.append(((k + 1 + flush) % buckets, True, _pack(places)))
+        flat = lambda c, kind: np.array([x for e, h in zip(entries, hot, strict=True) if not h for x in e[c]], kind)
+        columns = [
+            np.diff(anchor[mine], prepend=np.int64(0)), np.array([len(segments[m]) for m in mine], "<u4"), np.array(hot, "?"),
+            np.array([min(e[1]) for e in entries], "<i8"), np.array([max(e[1]) for e in entries], "<i8"),
+            np.array([0 if h else len(e[1]) for e, h in zip(entries, hot, strict=True)], "<u4"), flat(1, "<i8"), flat(2, "<u4"), flat(3, "<u4"), b"".join([segments[m] for m in mine]),
+        ]
+        rows.append((k, False, _pack(columns)))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "places", "packed"])
 
 
-def _segments(batches: Iterator[pa.RecordBatch], width: int, travel: int, passing) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], width: int, travel: int, buckets: int, passing) -> Iterator[pa.RecordBatch]:
     """Distinct segments of a flush, with the documents and places they occur in."""
     bits = np.frombuffer(passing.value, np.uint8)
+    task = TaskContext.get()
+    flush = task.partitionId() if task else 0
     table: dict[bytes, list] = {}
     held = 0
-    for ids, docs, (doc, pos, wins, u) in _scans(batches, width):
-        at = u >> np.uint64(64 - MAP_BITS)
-        keep = np.flatnonzero(bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+    passes = lambda key: (bits[key >> np.uint64(64 - MAP_BITS + 3)] >> (key >> np.uint64(64 - MAP_BITS) & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    for ids, docs, run in _scans(batches, width):
+        left, right = run["has_left"] & passes(run["left"]), run["has_right"] & passes(run["right"])
+        lo, hi = np.where(left, run["pos"], run["split_right"]), np.where(right, run["pos"] + run["wins"], run["split_left"])
+        keep = np.flatnonzero((left | right) & (lo < hi))
         tags: dict[int, int] = {}
-        for d, p, w, a in zip(doc[keep].tolist(), pos[keep].tolist(), wins[keep].tolist(), u[keep].view(np.int64).tolist(), strict=True):
+        for d, p, q, a in zip(run["doc"][keep].tolist(), lo[keep].tolist(), hi[keep].tolist(), run["anchor"][keep].view(np.int64).tolist(), strict=True):
             text = docs[d]
             if (tag := tags.get(d)) is None:
-                tags[d] = tag = int(np.uint64(xxhash.xxh64_intdigest(text, 42)).view(np.int64))
-            s = text[p : p + w + width - 1]
+                tags[d] = tag = xxhash.xxh64_intdigest(text, 42) & 0xFFFFFFFF
+            s = text[p : q + width - 1]
             if (row := table.get(s)) is None:
                 table[s] = row = [a, [], [], []]
-                held += len(s) + 800
+                held += len(s) + 600
             row[1].append(ids[d])
             row[2].append(tag)
             row[3].append(p)
             held += 100
         if held >= HELD:
-            yield _flushed(table, travel)
-            table, held = {}, 0
+            yield _flushed(table, travel, buckets, flush)
+            table, held, flush = {}, 0, flush + 7
     if table:
-        yield _flushed(table, travel)
+        yield _flushed(table, travel, buckets, flush)
 
 
-def _single_windows(batches: Iterator[pa.RecordBatch], width: int, travel: int) -> Iterator[pa.RecordBatch]:
-    """Segments of an overfull anchor as windows, each under an anchor of its own bytes."""
-    table: dict[bytes, list] = {}
-    held = 0
-    for b in batches:
-        for segment, docs, texts_, starts in zip(*(b.column(k).to_pylist() for k in ("segment", "docs", "texts", "starts")), strict=True):
-            for o in range(len(segment) - width + 1):
-                w = segment[o : o + width]
-                if (row := table.get(w)) is None:
-                    table[w] = row = [int(np.uint64(xxhash.xxh64_intdigest(w)).view(np.int64)), [], [], []]
-                    held += width + 800
-                row[1] += docs
-                row[2] += texts_
-                row[3] += [p + o for p in starts]
-                held += 100 * len(docs)
-            if held >= HELD:
-                yield _flushed(table, travel)
-                table, held = {}, 0
-    if table:
-        yield _flushed(table, travel)
-
-
-def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Blocks of distinct segments, cut between anchors, of rows sorted by anchor.
+def _blocks(batches: Iterator[pa.RecordBatch], width: int, anchor_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of distinct segments, cut between anchors, of packed rows sorted by bucket.
 
     An anchor of one document has nothing to lose and is left out. A segment that is alone under its
-    anchor equals no other, so it is given its smallest document here and is not sorted.
+    anchor equals no other, so it is given its smallest document here and is not sorted. An anchor with
+    more than ``anchor_bytes`` of distinct segments is split by the hash of its windows: equal windows
+    stay together. Places of hot segments pass through.
     """
-    last, one = None, {}
     rows: list[tuple] = []
     size = 0
 
-    def close_anchor():
-        nonlocal size
-        if one and (len(one) > 1 or next(iter(one.values()))[0] < next(iter(one.values()))[1]):
-            if min(x[0] for x in one.values()) < max(x[1] for x in one.values()):
-                alone = len(one) == 1
-                for s, (low, _, hot, docs, tags, starts) in one.items():
-                    rows.append((s, low, hot, alone, docs, tags, starts))
-                    size += len(s)
-        one.clear()
-
     def block():
-        flat = lambda k, kind: np.array([x for r in rows for x in r[k]], kind).tobytes()
+        flat = lambda k, kind: np.concatenate([np.zeros(0, kind), *[r[k] for r in rows]]).astype(kind).tobytes()
         sort = [r for r in rows if not r[3]]
         out = [
             np.array([len(r[0]) - width + 1 for r in rows], "<i4").tobytes(),
@@ -233,39 +272,100 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             np.array([len(r[4]) for r in rows], "<i4").tobytes(),
             flat(4, "<i8"), flat(5, "<i8"), flat(6, "<i4"),
             np.array([r[2] for r in rows], "?").tobytes(),
-            b"".join(xxhash.xxh3_128_digest(r[0]) for r in rows if r[2]),
+            b"".join(r[7] for r in rows if r[2]),
+            np.array([r[8] for r in rows if r[2]], "<i8").tobytes(),
             gsaca.pack_block([r[0] for r in sort], [r[1] for r in sort]),
         ]
         return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], _BLOCK_NAMES)
 
+    def bucket(packed: list[bytes]):
+        nonlocal rows, size
+        parts = [_unpack(x, _ENTRY) for x in packed]
+        anchor = np.concatenate([np.cumsum(x[0]) for x in parts])
+        length, hot, low, high, count = (np.concatenate([x[k] for x in parts]) for k in range(1, 6))
+        docs, tags, starts = (np.concatenate([x[k] for x in parts]) for k in range(6, 9))
+        text = b"".join([x[9] for x in parts])
+        text_end, place_end = np.cumsum(length, dtype=np.int64), np.cumsum(count, dtype=np.int64)
+        order = np.argsort(anchor, kind="stable")
+        first = np.flatnonzero(np.r_[True, anchor[order][1:] != anchor[order][:-1]])
+        useful = np.minimum.reduceat(low[order], first) < np.maximum.reduceat(high[order], first)
+        last = np.r_[first[1:], len(order)]
+        for lo, hi in zip(first[useful].tolist(), last[useful].tolist(), strict=True):
+            one: dict[bytes, list] = {}
+            for k in order[lo:hi].tolist():
+                s = text[text_end[k] - length[k] : text_end[k]]
+                at = slice(place_end[k] - count[k], place_end[k])
+                if (had := one.get(s)) is None:
+                    one[s] = [int(low[k]), bool(hot[k]), [docs[at]], [tags[at]], [starts[at]]]
+                else:
+                    had[0], had[1] = min(had[0], int(low[k])), had[1] or bool(hot[k])
+                    for list_, x in zip(had[2:], (docs, tags, starts), strict=True):
+                        list_.append(x[at])
+            alone = len(one) == 1
+            if not alone and sum(map(len, one)) > anchor_bytes:
+                yield from split(one)
+                continue
+            for s, (smallest, is_hot, d, t, p) in one.items():
+                places = ((x[0] if len(x) == 1 else np.concatenate(x)) for x in (d, t, p))
+                rows.append((s, smallest, is_hot, alone, *places, xxhash.xxh3_128_digest(s) if is_hot else b"", 0))
+                size += len(s)
+            if size >= BLOCK:
+                yield block()
+                rows, size = [], 0
+
+    def split(one: dict[bytes, list]):
+        """An overfull anchor's windows by hash; those of hot segments also as rows of their own, which give the verdict."""
+        nonlocal rows, size
+        if rows:
+            yield block()
+            rows, size = [], 0
+        segments = list(one)
+        windows = [[(xxhash.xxh32_intdigest(s[o : o + width]), k, o) for o in range(len(s) - width + 1)] for k, s in enumerate(segments)]
+        flat = sorted(x for w in windows for x in w)
+        at = 0
+        while at < len(flat):
+            to = min(len(flat), at + max(1, BLOCK // width))
+            while to < len(flat) and flat[to][0] == flat[to - 1][0]:
+                to += 1
+            table: dict[bytes, list] = {}
+            for _, k, o in flat[at:to]:
+                smallest, is_hot, d, t, p = one[segments[k]]
+                had = table.setdefault(segments[k][o : o + width], [smallest, [], [], []])
+                had[0] = min(had[0], smallest)
+                had[1] += d
+                had[2] += t
+                had[3] += [x.astype(np.int64) + o for x in p]
+                if is_hot:
+                    none = np.zeros(0, np.int64)
+                    rows.append((segments[k][o : o + width], smallest, True, False, none, none, none, xxhash.xxh3_128_digest(segments[k]), o))
+            for w, (smallest, d, t, p) in table.items():
+                rows.append((w, smallest, False, False, *map(np.concatenate, (d, t, p)), b"", 0))
+            yield block()
+            rows, at = [], to
+
+    held: list[bytes] = []
+    last = None
     for b in batches:
-        for anchor, segment, low, high, hot, docs, tags, starts in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if anchor != last:
-                close_anchor()
-                last = anchor
-                if size >= BLOCK:
-                    yield block()
-                    rows, size = [], 0
-            if (had := one.get(segment)) is None:
-                one[segment] = [low, high, hot, docs, tags, starts]
-            else:
-                had[:3] = min(had[0], low), max(had[1], high), had[2] or hot
-                had[3] += docs
-                had[4] += tags
-                had[5] += starts
-    close_anchor()
+        for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if k != last and held:
+                yield from bucket(held)
+                held = []
+            last = k
+            held.append(packed)
+    if held:
+        yield from bucket(held)
     if rows:
         yield block()
 
 
-_BLOCK_NAMES = ["wins", "alone", "low", "count", "docs", "tags", "starts", "hot", "keys", "block"]
+_BLOCK_NAMES = ["wins", "alone", "low", "count", "docs", "tags", "starts", "hot", "keys", "shift", "block"]
 _BLOCK_SCHEMA = ", ".join(f"{c} binary" for c in _BLOCK_NAMES)
 
 
 def _spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Removed spans (m_id, m_tag, s, e) of occurrences that travelled; for hot segments (key, s, e, low) of runs of windows."""
     for b in batches:
-        for wins, alone, low, count, docs, tags, starts, hot, keys, minima in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for wins, alone, low, count, docs, tags, starts, hot, keys, shift, minima in zip(*(c.to_pylist() for c in b.columns), strict=True):
             read = lambda x, kind: np.frombuffer(x, kind).astype(np.int64 if kind != "?" else bool)
             wins, alone, low, count, hot = read(wins, "<i4"), read(alone, "?"), read(low, "<i8"), read(count, "<i4"), read(hot, "?")
             lows = np.repeat(low, wins)
@@ -288,6 +388,7 @@ def _spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             if hot.any():
                 number = np.cumsum(hot) - 1
                 mine = np.flatnonzero(hot[run_seg])
+                run_at = run_at + np.where(hot, read(shift, "<i8")[np.maximum(number, 0)] if hot.any() else 0, 0)[run_seg]
                 key = pa.array([keys[16 * k : 16 * k + 16] for k in number[run_seg[mine]].tolist()], pa.binary())
                 none = pa.nulls(len(mine), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, pa.array(run_at[mine]), pa.array(run_at[mine] + run_n[mine] + width - 1), key, pa.array(run_low[mine])], _SPAN_NAMES)
@@ -296,24 +397,31 @@ def _spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 _SPAN_NAMES = ["m_id", "m_tag", "s", "e", "key", "low"]
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _hot_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        key = pa.array([xxhash.xxh3_128_digest(x) for x in b.column(0).to_pylist()], pa.binary())
-        yield pa.RecordBatch.from_arrays([key, *b.columns[1:]], ["key", "docs", "texts", "starts"])
+        for packed in b.column(0).to_pylist():
+            key, docs, tags, starts = _unpack(packed, _PLACES)
+            columns = [pa.array([key] * len(docs), pa.binary()), pa.array(docs.astype(np.int64)), pa.array(tags.astype(np.int64)), pa.array(starts.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "docs", "texts", "starts"])
+
+
+def _tag(text) -> Column:
+    """Tells apart rows that repeat an id: the low half of a text's hash."""
+    return F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF))
 
 
 def marks(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", engine: str = "jvm", travel: int = TRAVEL, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
-    """(m_id, m_tag, whole, starts, ends) of the texts that lose bytes; m_tag is the text's xxhash64."""
+    """(m_id, m_tag, whole, starts, ends) of the texts that lose bytes; m_tag is half of the text's xxhash64."""
     spark = docs.sparkSession
     ship(spark)
     source = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("doc_id"), "text")
-    rows = materialize(source.select("doc_id", F.xxhash64("text").alias("tag"), F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("key")), "suffix-digests")
+    rows = materialize(source.select("doc_id", _tag("text").alias("tag"), F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("key")), "suffix-digests")
     told = rows.agg(F.count("key").alias("n"), F.sum(F.col("size").cast("long")).alias("bytes")).first()
     groups = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("key").alias("n")).where("n > 1"), "suffix-copies")
     copies = lookup(rows, groups, "key", "n", told.n).where(f"doc_id > first and size >= {width}").select(F.col("doc_id").alias("m_id"), F.col("tag").alias("m_tag"))
     copies = materialize(copies.distinct(), "suffix-copied")
     gone = F.broadcast(copies) if small(copies) else copies.hint("shuffle_hash")
-    own = source.join(gone, (F.col("doc_id") == F.col("m_id")) & (F.xxhash64("text") == F.col("m_tag")), "left_anti")
+    own = source.join(gone, (F.col("doc_id") == F.col("m_id")) & (_tag("text") == F.col("m_tag")), "left_anti")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     slice_bits = min(16, max(8, (4 * partitions - 1).bit_length()))
     seen = own.mapInArrow(lambda b: _seen(b, width, slice_bits), "slice int, once binary, several binary")
@@ -323,15 +431,11 @@ def marks(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
     for row in mapped.toLocalIterator():  # at most 32 MB in all
         bits[row.slice * part : (row.slice + 1) * part] = zlib.decompress(row.bits)
     passing = spark.sparkContext.broadcast(bytes(bits))
-    found = materialize(own.mapInArrow(lambda b: _segments(b, width, travel, passing), _SEGMENT), "suffix-segments")
+    buckets = 4 * partitions
+    found = materialize(own.mapInArrow(lambda b: _segments(b, width, travel, buckets, passing), _SEGMENTS), "suffix-segments")
     passing.unpersist()
-    over = materialize(found.groupBy("anchor").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > anchor_bytes).select("anchor"), "suffix-overfull")
-    if not over.isEmpty():
-        side = F.broadcast(over) if small(over) else over.hint("shuffle_hash")
-        single = materialize(found.join(side, "anchor", "left_semi").select("segment", "docs", "texts", "starts").mapInArrow(lambda b: _single_windows(b, width, travel), _SEGMENT), "suffix-windows")
-        found = found.join(side, "anchor", "left_anti").select(*single.columns).union(single)
-    ready = found.where("hot is not null").select("anchor", "segment", "low", "high", "hot", "docs", "texts", "starts").repartition("anchor").sortWithinPartitions("anchor")
-    blocks = ready.mapInArrow(lambda b: _blocks(b, width), _BLOCK_SCHEMA)
+    ready = found.where("not places").select("bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
+    blocks = ready.mapInArrow(lambda b: _blocks(b, width, anchor_bytes), _BLOCK_SCHEMA)
     if engine == "jvm":
         source = gsaca.SOURCE.replace("WIDTH", str(width)).replace("WindowMinima", f"WindowMinima{width}")  # class names are global
         name = jvm.register(spark, f"tessera_window_minima_{width}", f"{gsaca.CLASS}{width}", source, "binary")
@@ -342,8 +446,7 @@ def marks(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
     hot = spans.where("key is not null").groupBy("key").agg(F.collect_list(F.struct("s", "e", "low")).alias("runs"))
     spans = spans.where("key is null").select("m_id", "m_tag", "s", "e")
     if not hot.isEmpty():
-        places = found.where("hot is null").select("segment", "docs", "texts", "starts").mapInArrow(_keyed, "key binary, docs array<long>, texts array<long>, starts array<int>")
-        places = materialize(places.select("key", F.explode(F.arrays_zip("docs", "texts", "starts")).alias("o")).select("key", "o.docs", "o.texts", "o.starts"), "suffix-hot-places")
+        places = materialize(found.where("places").select("packed").mapInArrow(_hot_places, "key binary, docs long, texts long, starts long"), "suffix-hot-places")
         sizes = places.groupBy("key").agg(F.count("docs").alias("n"))
         index = materialize(hot.join(sizes, "key"), "suffix-hot-runs")
         hit = lookup(places, index, "key", "n", places.count()).select("docs", "texts", "starts", F.explode("runs").alias("r")).where("r.low < docs")
@@ -365,7 +468,7 @@ def _marked(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> Da
     found = found.toDF("_m_id", "_m_tag", "_m_whole", "_m_starts", "_m_ends")
     side = F.broadcast(found) if small(found, 300_000) else found.hint("shuffle_hash")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.join(side, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)) == F.col("_m_id")) & (F.xxhash64(text) == F.col("_m_tag")), "left")
+    return docs.join(side, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)) == F.col("_m_id")) & (_tag(text) == F.col("_m_tag")), "left")
 
 
 def merged(starts: list[int], ends: list[int]) -> list[list[int]]:

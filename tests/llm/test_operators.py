@@ -237,7 +237,7 @@ def test_suffix_array():
         assert gsaca.suffix_array(t) == sorted(range(len(t) + 1), key=lambda k, t=t: t[k:])
 
 
-@pytest.mark.parametrize("options", [{}, {"engine": "python"}, {"travel": 0}, {"travel": 1, "anchor_bytes": 300}])
+@pytest.mark.parametrize("options", [{}, {"engine": "python"}, {"travel": 0}, {"travel": 1, "anchor_bytes": 300}, {"travel": 0, "anchor_bytes": 200}])
 def test_suffix_dedup(docs, options):
     same(suffix_dedup.digests(docs, **options), brute.suffix(ROWS), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
