@@ -6,6 +6,7 @@ row count has been checked (``BROADCAST_ROWS``) or is bounded by construction (`
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -68,6 +69,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers are reused, and their peak would stay with them."""
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def python_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
     """(ids, texts) lists of bounded size; a text longer than the bound comes alone."""
     ids: list = []
@@ -86,6 +95,8 @@ def python_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 4_000_000
                 held += len(t)
     if ids:
         yield ids, out
+    del ids, out
+    trim()
 
 
 def let(value: Column, body) -> Column:

@@ -23,24 +23,24 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.llm import gsaca, jvm
-from tessera.llm.common import lookup, materialize, python_batches, ship, small, texts
+from tessera.llm.common import lookup, materialize, python_batches, ship, small, texts, trim
 
 WIDTH, GRAM = 50, 16
 #: log2 of the bits of the anchor map: 32 MB, whatever the size of the input.
 MAP_BITS = 28
 #: Bytes of text scanned at once, of texts before a flush, and of segments in a suffix array.
-AT_ONCE, FLUSH, BLOCK = 1 << 19, 32_000_000, 1 << 18
+AT_ONCE, FLUSH, BLOCK = 1 << 19, 16_000_000, 1 << 18
 #: Bytes that a table of segments may take in a worker, about, before it is flushed.
-HELD = 60_000_000
+HELD = 35_000_000
 #: Occurrences of a segment in a flush that travel with it; more are hot and get their verdict by a lookup.
 TRAVEL = 64
 #: Bytes of distinct segments under one anchor; the windows of an anchor over that go under anchors of their own.
@@ -350,12 +350,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, anchor_bytes: int) ->
             if k != last and held:
                 yield from bucket(held)
                 held = []
+                trim()
             last = k
             held.append(packed)
     if held:
         yield from bucket(held)
     if rows:
         yield block()
+    held, rows = [], []
+    trim()
 
 
 _BLOCK_NAMES = ["wins", "alone", "low", "count", "docs", "tags", "starts", "hot", "keys", "shift", "block"]
@@ -512,9 +515,17 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
     columns = docs.columns
     beside = _marked(docs, marks(docs, width, id_col, text_col, **options), id_col, text_col)
 
-    @F.pandas_udf("string")
-    def cut(text: pd.Series, whole: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        return pd.Series(["" if w else left(t.encode(), merged(s, e)).decode(errors="ignore") for t, w, s, e in zip(text, whole, starts, ends, strict=True)])
-
-    lost = beside.where("_m_whole is not null").withColumn(text_col, cut(text_col, "_m_whole", "_m_starts", "_m_ends"))
-    return beside.where("_m_whole is null").select(*columns).union(lost.select(*columns))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = columns.index(text_col)
+        for whole_batch in batches:
+            for lo in range(0, whole_batch.num_rows, 500):
+                b = whole_batch.slice(lo, 500)
+                out = ["" if w.as_py() else left((t.as_py() or "").encode(), merged(s.as_py(), e.as_py())).decode(errors="ignore") for t, w, s, e in zip(b.column(at), *b.columns[-3:], strict=True)]
+                arrays = b.columns[:-3]
+                arrays[at] = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays(arrays, columns)
+        trim()
+
+    schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema])
+    lost = beside.where("_m_whole is not null").select(*columns, "_m_whole", "_m_starts", "_m_ends").mapInArrow(cut, schema)
+    return beside.where("_m_whole is null").select(*columns).union(lost)
