@@ -257,8 +257,9 @@ def _small_groups(bpe: WordBpe, docs: list[str]) -> Iterator[list[list[str]]]:
 
 
 def _joined(docs: list[str], parts: list[bytes], between: bytes) -> list[bytes]:
+    """The parts of each text put together; a slice of white space only has no tokens and takes no ``between``."""
     it = iter(parts)
-    return [between.join(next(it) for _ in slices(d)) if len(d) > 2 * SLICE else next(it) for d in docs]
+    return [between.join([x for _ in slices(d) if (x := next(it))]) if len(d) > 2 * SLICE else next(it) for d in docs]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
