@@ -1,13 +1,14 @@
 """Shared pieces of the training-data operators: scratch tables, skew-proof lookups, components.
 
-Nothing here collects per-document data to the driver; the only things broadcast are tables whose
-row count has been checked (``BROADCAST_ROWS``) or is bounded by construction (``HOT_KEYS``).
+Nothing here collects per-document data to the driver, and no plan depends on the size of a table. The only
+things broadcast are bounded by construction: at most ``HOT_KEYS`` keys, and a filter of ``FILTER_SLOTS`` rows.
 """
 
 from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -18,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of at most so many rows (of a few dozen bytes each) may be broadcast; larger ones are shuffled.
-BROADCAST_ROWS = 500_000
 #: A key is hot if it holds over 1/HOT_KEYS of all rows; there are at most HOT_KEYS such keys.
 HOT_KEYS = 10_000
+#: Rows of a key filter, of 16 longs each: 2^27 bits, about 20 MB, however many keys it stands for.
+FILTER_SLOTS = 1 << 17
 #: Arrow batches given to Python are cut so that a worker's memory stays bounded.
 ROWS_PER_BATCH = 2_000
 _HELD: list = []
@@ -31,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or (unset, as in tests) one made here."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         at = Path(tempfile.gettempdir(), "tessera-shared").as_uri()
         os.makedirs(at.removeprefix("file://"), exist_ok=True)
         spark.sparkContext.setCheckpointDir(at)
@@ -64,9 +67,9 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
-def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id long, text string): only what the operators need, so clashing extra columns never matter."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more: Column) -> DataFrame:
+    """(doc_id long, text string, more): only what the operators need, so clashing extra columns never matter."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *more)
 
 
 def trim() -> None:
@@ -104,33 +107,71 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most so many rows; reads no more of it than needed to tell."""
-    return df.limit(rows + 1).count() <= rows
+def _slot(keys: list[str]) -> tuple[Column, Column, Column]:
+    """Row, long and bit of a key in a filter."""
+    h = F.xxhash64(*keys)
+    return h.bitwiseAND(F.lit(FILTER_SLOTS - 1)), F.shiftrightunsigned(h, 40).bitwiseAND(F.lit(15)).cast("int"), F.shiftrightunsigned(h, 50).bitwiseAND(F.lit(63)).cast("int")
 
 
-def lookup(rows: DataFrame, index: DataFrame, key: str, size: str, total: int) -> DataFrame:
-    """rows left-joined with index (one row per key) where a key may hold a third of all rows.
+def key_filter(keys: DataFrame, on: list[str]) -> DataFrame:
+    """(_slot, _words): a bit map of hashed keys with at most FILTER_SLOTS rows; built with partial aggregates.
 
-    ``size`` is the column of index with the key's number of rows. Keys over total / HOT_KEYS are at
-    most HOT_KEYS in number: those index rows are broadcast and their rows never move. The rest have
-    bounded groups and are joined by shuffle.
+    It lets every key pass, and others as it fills up: about 1 in 100 beside a million keys, 1 in 10 beside
+    fourteen million. What passes in vain costs a shuffle and no more.
     """
-    if total <= BROADCAST_ROWS // 10:
-        return rows.join(F.broadcast(index), key, "left")
-    bound = max(1, total // HOT_KEYS)
-    hot = index.where(F.col(size) > bound)
-    marked = rows.join(F.broadcast(hot.select(key, F.lit(True).alias("_hot"))), key, "left")
-    far = marked.where(F.col("_hot").isNull()).drop("_hot").join(index.where(F.col(size) <= bound).hint("shuffle_hash"), key, "left")
-    near = marked.where(F.col("_hot")).drop("_hot").join(F.broadcast(hot), key, "left")
+    slot, word, bit = _slot(on)
+    told = keys.select(slot.alias("__tessera_slot"), word.alias("_w"), bit.alias("_b"))
+    words = [F.bit_or(F.when(F.col("_w") == k, F.expr("shiftleft(1L, _b)")).otherwise(F.lit(0).cast("long"))).alias(f"_{k}") for k in range(16)]
+    return told.groupBy("__tessera_slot").agg(*words).select("__tessera_slot", F.array(*[f"_{k}" for k in range(16)]).alias("__tessera_words"))
+
+
+def lookup(rows: DataFrame, index: DataFrame, keys: str | list[str], size: str, total: int) -> DataFrame:
+    """rows left-joined with index (one row per key): one plan at all sizes, where a key may hold a third of all rows.
+
+    ``size`` is the column of index with the key's number of rows. Keys over total / HOT_KEYS are at most
+    HOT_KEYS in number: those index rows are broadcast and their rows never move. Nor do rows whose key the
+    filter of the other keys holds back. Only what passes is joined by shuffle, in groups of bounded size.
+    """
+    keys = [keys] if isinstance(keys, str) else keys
+    bound = max(1, (total or 0) // HOT_KEYS)
+    others = [c for c in index.columns if c not in keys]
+    hot, cold = index.where(F.col(size) > bound), index.where(F.col(size) <= bound)
+    marked = _passing(rows, cold, keys).join(F.broadcast(hot.withColumn("__tessera_hot", F.lit(True))), keys, "left")
+    near = marked.where("__tessera_hot or not __tessera_maybe").select(*rows.columns, *others)
+    far = marked.where("__tessera_hot is null and __tessera_maybe").select(*rows.columns).join(cold.hint("shuffle_hash"), keys, "left").select(*rows.columns, *others)
     return near.unionByName(far)
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs whose id isn't in ids (column ``drop_id``): broadcast if few, else by shuffle; null ids stay."""
-    gone = ids.select(F.col("drop_id"))
-    gone = F.broadcast(gone) if small(gone) else gone.hint("shuffle_hash")
-    return docs.join(gone, docs[id_col] == gone["drop_id"], "left_anti")
+def _passing(rows: DataFrame, index: DataFrame, keys: list[str]) -> DataFrame:
+    """rows and whether (``_maybe``) their key may be in index."""
+    slot, word, bit = _slot(keys)
+    beside = rows.withColumn("__tessera_at", slot).join(F.broadcast(key_filter(index, keys).withColumnRenamed("__tessera_slot", "__tessera_at")), "__tessera_at", "left")
+    found = F.getbit(F.get("__tessera_words", word), bit) == 1
+    return beside.select(*rows.columns, F.coalesce(found, F.lit(False)).alias("__tessera_maybe"))
+
+
+def maybe_in(rows: DataFrame, index: DataFrame, keys: str | list[str]) -> DataFrame:
+    """The rows whose key is in index, and some whose key isn't; nothing is shuffled."""
+    return _passing(rows, index, [keys] if isinstance(keys, str) else keys).where("__tessera_maybe").select(*rows.columns)
+
+
+def kept_rows(docs: DataFrame, verdicts: DataFrame, tag, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that verdicts (doc_id, tag, kept; one row per row of docs) don't keep.
+
+    Rows are told by id and tag, null-safe, where ``tag(text column)`` is the same as verdicts' tag. Of kept
+    rows that agree in both one stays. Only rows to be dropped, or kept once, can move.
+    """
+    verdicts = materialize(verdicts.select("doc_id", "tag", "kept"), "kept-verdicts")
+    named = verdicts.select(F.col("doc_id").isNull().alias("__tessera_null"), F.coalesce("doc_id", F.lit(0)).alias("__tessera_id"), F.col("tag").alias("__tessera_tag"), "kept")
+    index = named.groupBy("__tessera_null", "__tessera_id", "__tessera_tag").agg(F.count("__tessera_id").alias("__tessera_n"), F.bool_or("kept").alias("__tessera_once")).where("__tessera_n > 1 or not __tessera_once")
+    index = materialize(index, "kept-index")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    keyed = docs.select("*", F.col(id_col).isNull().alias("__tessera_null"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("__tessera_id"), tag(text).alias("__tessera_tag"))
+    told = lookup(keyed, index, ["__tessera_null", "__tessera_id", "__tessera_tag"], "__tessera_n", verdicts.count())
+    rest = told.where("__tessera_once is null").select(*docs.columns)
+    if index.where("__tessera_once").isEmpty():
+        return rest
+    return rest.unionByName(told.where("__tessera_once").dropDuplicates(["__tessera_null", "__tessera_id", "__tessera_tag"]).select(*docs.columns))
 
 
 def _content(edges: DataFrame):
@@ -138,6 +179,14 @@ def _content(edges: DataFrame):
     return edges.agg(F.count("u"), F.bit_xor(F.xxhash64("u", "v"))).first()
 
 
+def _beside_low(edges: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """edges (u, v) with m of low (u, m, _n); the edges of a centre that holds over 1/HOT_KEYS of all don't move."""
+    bound = max(1_000, total // HOT_KEYS)
+    hot = F.broadcast(low.where(F.col("_n") > bound))
+    far = edges.join(hot.select("u"), "u", "left_anti").join(low.where(F.col("_n") <= bound), "u")
+    return far.select("u", "v", "m").union(edges.join(hot, "u").select("u", "v", "m"))
+
+
 def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of edges (a, b long).
 
@@ -149,11 +198,12 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 60) -> Data
     now = _content(cur)
     for k in range(max_rounds):
         both = cur.select("u", "v").union(cur.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("m", "u").alias("m"))
-        large = both.where("v > u").join(low, F.col("u") == F.col("c")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u != v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), "m")
-        small_ = large.join(low2, F.col("u") == F.col("c")).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.*")
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("v").alias("_n"))
+        large = _beside_low(both.where("v > u"), low, now[0]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u != v").distinct(), f"{name}-{k + 1}-large")
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("v").alias("_n"))
+        pairs = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))
+        small_ = _beside_low(large, low2, now[0]).select(F.explode(pairs).alias("e")).select("e.*")
         new = materialize(small_.where("u != v").distinct(), f"{name}-{k + 1}")
         cur, before, now = new, now, _content(new)
         if now == before:
