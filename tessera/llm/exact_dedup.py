@@ -2,10 +2,11 @@
 
 Every scan task fills a memtable (digest to best id and members, texts compared byte by byte on a hit)
 and flushes it as a sorted run. Runs are shuffled by digest, without texts: a digest that fills a third
-of all rows is one entry a run. Each bucket task adds its runs to an index whose levels carry Bloom
-filters; a filter hit is confirmed by binary search, and tiers of equal level are compacted, which keeps
-the best id and adds up sizes. A digest found in several runs is a hit across runs: one text a run is
-fetched for it and compared by bytes before the rows are called equal.
+of all rows is one entry a run. Each bucket task, of at most about ``BUCKET_ENTRIES`` entries, adds its runs
+to an index whose levels carry Bloom filters; a filter hit is confirmed by binary search, and tiers of equal
+level are compacted, which keeps the best id and adds up sizes. The digests that an earlier run held when
+they were added are the hits: for each, one text a run is picked out where the texts are scanned, and only
+those move, to be compared by bytes before the rows are called equal.
 
 Defined results: a null text counts as empty; rows of equal text form a group whatever their other
 columns hold; of a group the row with the best (largest or smallest) id stays; rows that repeat an id
@@ -25,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, materialize, python_batches, ship, small, texts
+from tessera.llm.common import lookup, materialize, maybe_in, python_batches, ship, texts
 
 #: A memtable is flushed beyond so many rows or characters of distinct text.
 MEMTABLE_ROWS, MEMTABLE_CHARS = 20_000, 32_000_000
 #: So many runs of one level are compacted into one of the next.
 TIER = 4
+#: Entries of runs that a bucket's index holds, about: some 100 MB in a worker.
+BUCKET_ENTRIES = 1_000_000
 #: Bits a digest in a run's filter, and hash functions.
 FILTER_BITS, FILTER_HASHES = 10, 4
 _RUNS = "digest binary, run long, variant int, best long, members array<long>"
@@ -38,12 +41,12 @@ _RUNS = "digest binary, run long, variant int, best long, members array<long>"
 
 @dataclass(eq=False)
 class Run:
-    """Sorted digests with best id, rows and number of flushed runs each, and a Bloom filter."""
+    """Sorted digests with best id, number of entries and whether an earlier run held them, and a Bloom filter."""
 
     digests: np.ndarray
     best: np.ndarray
     rows: np.ndarray
-    parts: np.ndarray
+    hit: np.ndarray
     level: int = 0
     bits: np.ndarray = field(init=False)
 
@@ -76,8 +79,7 @@ class LsmIndex:
     def add(self, digests: np.ndarray, best: np.ndarray) -> np.ndarray:
         """Add a sorted run with a row a digest; returns which of its digests an earlier run holds."""
         hit = self.has(digests)
-        one = np.ones(len(digests), np.int64)
-        self.runs.append(Run(digests, best, one, one))
+        self.runs.append(Run(digests, best, np.ones(len(digests), np.int64), hit))
         self.compact()
         return hit
 
@@ -99,7 +101,7 @@ class LsmIndex:
         digests = digests[order]
         first = np.flatnonzero(np.r_[True, digests[1:] != digests[:-1]])
         take = lambda k: np.concatenate([getattr(r, k) for r in runs])[order]
-        return Run(digests[first], self.better.reduceat(take("best"), first), np.add.reduceat(take("rows"), first), np.add.reduceat(take("parts"), first), level)
+        return Run(digests[first], self.better.reduceat(take("best"), first), np.add.reduceat(take("rows"), first), np.logical_or.reduceat(take("hit"), first), level)
 
 
 def _worst(keep: str) -> int:
@@ -174,10 +176,10 @@ def compacted(batches: Iterator[pa.RecordBatch], keep: str, digest_bytes: int) -
                 pa.array(raw, pa.binary()),
                 pa.array([None if x == worst else x for x in r.best.tolist()], pa.int64()),
                 pa.array([n + sizes.get(d, 0) for d, n in zip(raw, r.rows.tolist(), strict=True)], pa.int64()),
-                pa.array(r.parts, pa.int64()),
+                pa.array(r.hit),
                 pa.array([d in extra for d in raw]),
             ],
-            ["digest", "keep_id", "group_size", "parts", "mixed"],
+            ["digest", "keep_id", "group_size", "hit", "mixed"],
         )
 
 
@@ -194,38 +196,51 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     source = texts(docs, id_col, text_col)
     runs = materialize(source.mapInArrow(lambda b: flushed(b, keep, digest_bytes), _RUNS), "dedup-runs")
     entries = runs.select("digest", "run", "variant", "best", F.size("members").alias("rows"))
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries.count() // BUCKET_ENTRIES)
     index = materialize(
-        entries.repartition("digest").sortWithinPartitions("run", "digest").mapInArrow(lambda b: compacted(b, keep, digest_bytes), "digest binary, keep_id long, group_size long, parts long, mixed boolean"),
+        entries.repartition(buckets, "digest").sortWithinPartitions("run", "digest").mapInArrow(lambda b: compacted(b, keep, digest_bytes), "digest binary, keep_id long, group_size long, hit boolean, mixed boolean"),
         "dedup-index",
     )
-    told = index.agg(F.sum("group_size").alias("n"), F.count_if(F.col("mixed")).alias("mixed"), F.count_if(F.col("parts") > 1).alias("hits")).first()
+    told = index.agg(F.sum("group_size").alias("n"), F.count_if(F.col("mixed")).alias("mixed"), F.count_if("hit").alias("hits")).first()
     members = runs.select(F.explode("members").alias("doc_id"), "digest")
     verdict = index.select("digest", "keep_id", "group_size")
     if told.hits or told.mixed:
-        # One text a run for each digest in several runs: equal bytes, or the digest is one of several texts.
-        hits = entries.join(index.where("parts > 1").select("digest").hint("shuffle_hash"), "digest", "left_semi").select(F.col("best").alias("hit_id"), "digest")
-        fetched = _fetch(source, hits, digest_bytes).groupBy("digest", "text").agg(F.lit(1).alias("one"))
-        bad = materialize(fetched.groupBy("digest").agg(F.count("one").alias("kinds")).where("kinds > 1").select("digest").union(index.where("mixed").select("digest")).distinct(), "dedup-collisions")
+        # One text a run for each hit: equal bytes, or the digest is one of several texts.
+        hits = entries.join(index.where("hit").select("digest").hint("shuffle_hash"), "digest", "left_semi").select(F.coalesce("best", F.lit(0)).alias("id0"), "digest")
+        kinds = maybe_in(_digested(source, digest_bytes), materialize(hits, "dedup-hits"), ["id0", "digest"]).groupBy("digest", "text").agg(F.lit(1).alias("one"))
+        bad = kinds.groupBy("digest").agg(F.count("one").alias("kinds")).where("kinds > 1").select("digest").union(index.where("mixed").select("digest")).distinct()
+        bad = materialize(bad, "dedup-collisions")
         if not bad.isEmpty():
             return _separated(source, members, verdict, bad, keep, digest_bytes, told.n)
-    out = lookup(members, verdict, "digest", "group_size", told.n or 0)
-    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    out = lookup(members, verdict.where("group_size > 1"), "digest", "group_size", told.n)
+    keep_id = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return out.select("doc_id", keep_id.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "digest")
 
 
-def _fetch(source: DataFrame, wanted: DataFrame, digest_bytes: int) -> DataFrame:
-    """(doc_id, digest, text) of the wanted (hit_id, digest): texts move only for these."""
-    wanted = materialize(wanted.distinct(), "dedup-hits").select("hit_id", F.col("digest").alias("hit"))
-    wanted = F.broadcast(wanted) if small(wanted) else wanted.hint("shuffle_hash")
-    digest = F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes)
-    return source.join(wanted, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (digest == F.col("hit"))).select("doc_id", F.col("hit").alias("digest"), "text")
+def _digested(source: DataFrame, digest_bytes: int) -> DataFrame:
+    return source.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("id0"), F.substring(F.unhex(F.sha2("text", 256)), 1, digest_bytes).alias("digest"), "text")
+
+
+def deduplicated(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each text: that with the best id, any of those that share it. Only rows of small groups of copies move."""
+    found = materialize(exact_dedup(docs, keep, id_col, text_col), "dedup-verdicts")
+    groups = found.groupBy("digest").agg(F.first("keep_id").alias("__tessera_keep"), F.count("digest").alias("__tessera_n"), F.count_if("kept").alias("__tessera_k")).where("__tessera_n > 1")
+    groups = materialize(groups.withColumnRenamed("digest", "__tessera_key"), "dedup-groups")
+    keyed = docs.withColumn("__tessera_key", F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
+    told = lookup(keyed, groups, "__tessera_key", "__tessera_n", found.count())
+    best = F.col(id_col).cast("long").eqNullSafe(F.col("__tessera_keep"))
+    out = told.where(F.col("__tessera_n").isNull() | (best & (F.col("__tessera_k") == 1))).select(*docs.columns)
+    if groups.where("__tessera_k > 1").isEmpty():
+        return out
+    return out.unionByName(told.where(best & (F.col("__tessera_k") > 1)).dropDuplicates(["__tessera_key"]).select(*docs.columns))
 
 
 def _separated(source, members, verdict, bad, keep, digest_bytes, total) -> DataFrame:
     """The result where digests collide: their rows are grouped by digest and text."""
     best = F.max if keep == "largest" else F.min
-    full = _fetch(source, members.join(bad, "digest", "left_semi").select(F.col("doc_id").alias("hit_id"), "digest"), digest_bytes)
+    full = maybe_in(_digested(source, digest_bytes), bad, "digest").join(bad, "digest", "left_semi")
     groups = full.groupBy("digest", "text").agg(best("doc_id").alias("keep_id"), F.count("digest").alias("group_size"))
-    apart = full.join(groups, ["digest", "text"]).select("doc_id", "digest", "keep_id", "group_size")
+    apart = full.select("doc_id", "digest", "text").join(groups, ["digest", "text"]).select("doc_id", "digest", "keep_id", "group_size")
     rest = lookup(members.join(bad, "digest", "left_anti"), verdict.join(bad, "digest", "left_anti"), "digest", "group_size", total)
     both = rest.select("doc_id", "digest", "keep_id", "group_size").union(apart)
     return both.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
