@@ -25,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, materialize, scratch, ship, small
+from tessera.llm.common import lookup, materialize, scratch, ship
 
 ARCHIVE_BYTES = 24_000_000
+#: Bytes of archives that a task reads back, about.
+READ_BYTES = 64_000_000
 SAMPLES, SAMPLE_BYTES, DICTIONARY_BYTES, LEVEL = 500, 8_192, 65_536, 3
 _SKIPPABLE = 0x184D2A5D
 _DATE = "2000-01-01T00:00:00Z"
@@ -142,20 +144,19 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Write the archives; the manifest (path, records, bytes) of those that were committed."""
     ship(pages.sparkSession)
     source = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("html"))
-    rows = materialize(source.select("page_id", F.unhex(F.sha2("html", 256)).alias("key")), "warc-digests")
-    first = materialize(rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count("key").alias("n")).where("n > 1"), "warc-first")
-    total = rows.count()
-    again = lookup(rows, first, "key", "n", total).where("first is not null and not page_id <=> first").select(F.col("page_id").alias("again_id"), F.col("key").alias("again_key"), F.col("first").alias("refers_to"))
-    again = materialize(again.distinct(), "warc-revisits")
-    again = F.broadcast(again) if small(again) else again.hint("shuffle_hash")
     keyed = source.withColumn("key", F.unhex(F.sha2("html", 256)))
-    told = keyed.join(again, F.col("page_id").eqNullSafe(F.col("again_id")) & (F.col("key") == F.col("again_key")), "left")
-    told = told.select("page_id", "url", "html", F.when(F.col("refers_to").isNull(), "response").otherwise("revisit").alias("kind"), "refers_to")
+    rows = materialize(keyed.select("page_id", "key"), "warc-digests")
+    first = materialize(rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count("key").alias("n")).where("n > 1"), "warc-first")
+    told = lookup(keyed, first, "key", "n", rows.count())  # pages of a payload of their own, or of a hot one, stay where they are read
+    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    told = told.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
     return materialize(told.mapInArrow(lambda b: _written(b, folder), "path string, records long, bytes long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
-    """The records of all archives of a manifest, a file a row of tasks' work."""
+    """The records of all archives of a manifest, read in as many partitions as READ_BYTES of archives make, at least one a core and at most one an archive."""
+    told = manifest.agg(F.count("path").alias("n"), F.sum("bytes").alias("bytes")).first()
+    spread = max(1, min(told.n, max(manifest.sparkSession.sparkContext.defaultParallelism, (told.bytes or 0) // READ_BYTES)))
     kinds = [("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("payload", pa.binary())]
     kinds = kinds if payload else kinds[:-1]
 
@@ -176,7 +177,7 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
 
     ship(manifest.sparkSession)
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long" + ", payload binary" * payload
-    return manifest.select("path").repartition("path").mapInArrow(run, schema)
+    return manifest.select("path").repartition(spread).mapInArrow(run, schema)
 
 
 def _batch(rows: list[tuple], kinds: list) -> pa.RecordBatch:
