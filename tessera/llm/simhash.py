@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, lookup, materialize, python_batches, ship, small, texts
+from tessera.llm.common import components, lookup, materialize, python_batches, ship, texts
 
 SHINGLE, SEED, MAX_DIFF = 3, 42, 2
 #: Fingerprints under one key that are compared with each other; larger groups are refined.
@@ -174,14 +174,13 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
                 hot = None
         cold = keyed
         if hot is not None:
-            side = F.broadcast(hot) if small(hot) else hot.hint("shuffle_hash")
-            cold = keyed.join(side, ["mask", "value"], "left_anti")
+            cold = keyed.join(hot, ["mask", "value"], "left_anti")  # the engine broadcasts by bytes, or shuffles
         found = cold.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(_links, "a long, b long")
         out = found if out is None else out.union(found)
         if hot is None:
             return out
         finer = {m: refined(m) for m in masks}
-        part = keyed.join(side, ["mask", "value"], "left_semi")
+        part = keyed.join(hot, ["mask", "value"], "left_semi")
         keyed = None
         for m, children in finer.items():
             more = _keyed(part.where(F.col("mask") == signed(m)).select("fp"), children)
@@ -198,6 +197,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = components(links(classes.select("fp")), "simhash-cc")
     labels = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", "rows", F.coalesce("component", "fp").alias("label"))
     labels = materialize(labels, "simhash-labels")
-    low = labels.groupBy("label").agg(F.min("first").alias("component_id"), F.count("label").alias("size"))
-    named = materialize(lookup(labels, low, "label", "size", total.classes).select("fp", "rows", "component_id"), "simhash-named")
-    return lookup(fps, named, "fp", "rows", total.n or 0).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    low = labels.groupBy("label").agg(F.min("first").alias("least"), F.count("label").alias("size")).where("size > 1")
+    named = lookup(labels, low, "label", "size", total.classes).select("fp", "rows", "first", F.when(F.col("size").isNull(), F.col("first")).otherwise(F.col("least")).alias("component_id"))
+    named = materialize(named.where("rows > 1 or not component_id <=> first").select("fp", "rows", "component_id"), "simhash-named")
+    component = F.when(F.col("rows").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return lookup(fps, named, "fp", "rows", total.n).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component.alias("component_id"))
