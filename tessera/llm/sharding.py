@@ -2,12 +2,15 @@
 
 Rows of equal text form a group that stays together. A group goes to the shard whose residual capacity,
 as a vector of shares of bytes, tokens and rows, has the highest dot product with the group's. Groups
-over 1/HOT_KEYS of the rows or bytes (their number is bounded by that) are placed first, on the driver;
-all others are placed in tasks of their own hash range, against the capacity that those left, with the
-largest first, so that each task's shards end up within a small document of each other.
+over 1/HOT_KEYS of the rows or of the bytes (at most 2 * HOT_KEYS, single very long texts among them) are
+placed first, on the driver, over all shards; all others are placed in tasks of their own hash range, a
+batch at a time with the largest first, so that what a task has placed so far fills the capacity that those
+left in proportion, within a small document. Tasks break ties from different shards on.
+
+Tokens are white-space separated words, or the values of a column of token counts, if one is named.
 
 Law: ``bytes`` (sizes near equal), as far as groups that stay whole allow: a group larger than a shard's
-share fills its shard alone. Defined results: a null text counts as empty (size 1); repeated rows are
+share fills its shard alone, up to what the tasks' last documents add. Defined results: a null text counts as empty (size 1); repeated rows are
 rows of a group; null ids are kept; an empty table gives an empty result.
 """
 
@@ -21,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT_KEYS, lookup, materialize, ship, small, texts
+from tessera.llm.common import HOT_KEYS, lookup, materialize, ship, texts
 
 SHARDS = 8
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -29,19 +32,22 @@ _WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (8.0, 1.0, 1.0)
 
 
-def place(items: np.ndarray, capacity: np.ndarray) -> list[int]:
-    """The shard of each item (rows of bytes, tokens, rows), given each shard's capacity in the same units."""
+def place(items: np.ndarray, capacity: np.ndarray, first: int = 0) -> list[int]:
+    """The shard of each item (rows of bytes, tokens, rows), given each shard's capacity in the same units; ties go to shards from ``first`` on."""
     total = np.maximum(capacity.sum(0), 1e-9)
     share, left = items / total, (capacity / total).tolist()
     w = np.array(WEIGHTS)
+    shards = [(k + first) % len(left) for k in range(len(left))]
     out = [0] * len(items)
     for k in np.argsort(-share.sum(1), kind="stable").tolist():
         b, t, r = share[k].tolist()
         wb, wt, wr = (share[k] * w).tolist()
         best, at = None, 0
-        for s, (x, y, z) in enumerate(left):
-            if best is None or wb * x + wt * y + wr * z > best:
-                best, at = wb * x + wt * y + wr * z, s
+        for s in shards:
+            x, y, z = left[s]
+            value = (x >= b, wb * x + wt * y + wr * z if x >= b else x)  # where it fits by bytes; else where most are left
+            if best is None or value > best:
+                best, at = value, s
         out[k] = at
         x, y, z = left[at]
         left[at] = (x - b, y - t, z - r)
@@ -49,14 +55,18 @@ def place(items: np.ndarray, capacity: np.ndarray) -> list[int]:
 
 
 def _placed(batches: Iterator[pa.RecordBatch], free: list[list[float]]) -> Iterator[pa.RecordBatch]:
-    keys, sizes = [], []
+    """(key, n, shard) of a task's groups, a batch at a time: shards get what is placed so far in proportion to free."""
+    task = TaskContext.get()
+    first, share = (task.partitionId() if task else 0), np.array(free)
+    seen, load = np.zeros(3), np.zeros(share.shape)
     for b in batches:
-        keys += b.column(0).to_pylist()
-        sizes.append(np.array([c.to_numpy() for c in b.columns[1:4]], float).T)
-    if keys:
-        items = np.concatenate(sizes)
-        shard = place(items, np.array(free) * items.sum(0))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(items[:, 2].astype(np.int64)), pa.array(shard, pa.int32())], ["key", "n", "shard"])
+        if not b.num_rows:
+            continue
+        items = np.array([c.to_numpy() for c in b.columns[1:4]], float).T
+        seen += items.sum(0)
+        shard = place(items, share * seen - load, first)
+        np.add.at(load, shard, items)
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(items[:, 2].astype(np.int64)), pa.array(shard, pa.int32())], ["key", "n", "shard"])
 
 
 def _numbered(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.RecordBatch]:
@@ -73,22 +83,24 @@ def _numbered(batches: Iterator[pa.RecordBatch], shards: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(shard), task)), pa.array(local)], ["doc_id", "size", "text_crc32", "shard", "task", "local"])
 
 
-def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", tokens_col: str | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard)."""
     ship(docs.sparkSession)
-    rows = texts(docs, id_col, text_col).select(
+    counted = F.regexp_count("text", F.lit(_WORD)) if tokens_col is None else F.coalesce("tokens", F.lit(0))
+    source = texts(docs, id_col, text_col, *([F.col(tokens_col).cast("long").alias("tokens")] if tokens_col else []))
+    rows = source.select(
         "doc_id",
         F.unhex(F.sha2("text", 256)).alias("key"),
         (F.octet_length("text") + 1).cast("long").alias("size"),
-        F.regexp_count("text", F.lit(_WORD)).cast("long").alias("tokens"),
+        counted.cast("long").alias("tokens"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
     )
     rows = materialize(rows, "shard-rows")
     groups = materialize(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("key").alias("n")), "shard-groups")
     sums = [float(x or 0) for x in groups.agg(F.sum("bytes"), F.sum("tokens"), F.sum("n")).first()]
     hot_bytes, hot_rows = sums[0] / HOT_KEYS, sums[2] / HOT_KEYS
-    hot = (F.col("bytes") > hot_bytes) & (F.col("n") > max(1.0, hot_rows))
-    large = groups.where(hot).orderBy("key").collect()  # at most HOT_KEYS rows
+    hot = (F.col("bytes") > hot_bytes) | (F.col("n") > max(1.0, hot_rows))
+    large = groups.where(hot).orderBy("key").collect()  # at most 2 * HOT_KEYS rows
     capacity = np.tile(np.maximum(np.array(sums), 1e-9) / shards, (shards, 1))
     fixed = place(np.array([[g.bytes, g.tokens, g.n] for g in large], float).reshape(-1, 3), capacity)
     free = capacity.copy()
@@ -105,7 +117,6 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
     counts = put.groupBy("shard", "task").agg(F.count("shard").alias("n"))
     before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(counts.select("shard", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "shard-offsets")
-    offsets = F.broadcast(offsets) if small(offsets) else offsets
     return put.join(offsets, ["shard", "task"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("local")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
     )
