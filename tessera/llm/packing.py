@@ -1,9 +1,9 @@
 """Best-fit packing of token sequences (operator 8) with swap-based local search.
 
 Texts are encoded where they are read; only (id, piece, start, length, checksum) rows move on. Blocks of
-pieces are packed by best fit in descending order; then local search takes the emptiest bin and moves its
-pieces, or exchanges one for one or two for one with fuller bins, as long as the sum of squared fills
-grows, until the bin is empty. Bins that stay open are unpacked into the next block of the task, and
+pieces are packed by best fit in descending order; then local search takes the emptiest bins one after another
+and moves their pieces, or exchanges one for one or two for one with fuller bins, as long as the sum of
+squared fills grows, until a bin is empty; one that can't be emptied is left for the next donor. Bins that stay open are unpacked into the next block of the task, and
 those left at a task's end are packed once more together, so blocks cost next to nothing.
 
 Defined results: a null or empty text is one piece that holds only the end token; a text longer than the
@@ -30,6 +30,8 @@ CAPACITY, END_ID = 4096, 1
 BLOCK = 40_000
 #: A bin is open if it is filled to less than this share; at most so many are carried to the next block.
 OPEN_BELOW, CARRIED = 0.995, 2_000
+#: Underfull bins tried as donors in a pass, and takers looked at in one search.
+DONORS, VISITS = 64, 400_000
 _PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _PLACED = f"{_PIECE}, sequence_id long, offset long, open boolean"
 
@@ -85,18 +87,30 @@ class Bins:
         return -(-sum(self.size) // self.capacity)
 
     def search(self) -> None:
-        """Empty the emptiest bins one after another as long as that succeeds."""
-        alive = sum(1 for x in self.items if x)
-        order = sorted((b for b in range(len(self.items)) if self.gap[b]), key=self.gap.__getitem__)
-        while alive > self.fewest() and len(order) > 1:
-            donor = order.pop()
-            takers = sorted(order, key=self.gap.__getitem__, reverse=True)
-            while self.items[donor] and self.improve(donor, takers):
-                pass
-            if self.items[donor]:
-                break
-            alive -= 1
-            order = sorted((b for b in order if self.gap[b]), key=self.gap.__getitem__)
+        """Empty underfull bins, the emptiest first; one that can't be emptied is passed over, and all are tried again after a success.
+
+        Pieces that fill others better have moved even where a donor was not emptied, so a later pass may
+        empty what an earlier one couldn't. The number of takers looked at is bounded by ``VISITS``.
+        """
+        alive, least, budget = sum(1 for x in self.items if x), self.fewest(), VISITS
+        while alive > least and budget > 0:
+            order = sorted((b for b in range(len(self.items)) if self.gap[b] and self.items[b]), key=self.gap.__getitem__, reverse=True)
+            emptied = 0
+            for donor in order[:DONORS]:
+                takers = [b for b in order if b != donor and self.items[b] and self.gap[b]]
+                if sum(self.gap[t] for t in takers) < self.capacity - self.gap[donor]:
+                    break  # fuller donors can't be emptied either
+                while self.items[donor] and budget > 0:
+                    budget -= len(takers)
+                    if not self.improve(donor, takers):
+                        break
+                if not self.items[donor]:
+                    emptied += 1
+                    alive -= 1
+                    if alive <= least:
+                        return
+            if not emptied:
+                return
 
     def improve(self, donor: int, takers: list[int]) -> bool:
         """One pass of moves and exchanges that fill takers from the donor; whether any was made."""
@@ -107,7 +121,7 @@ class Bins:
             if not g or not mine:
                 continue
             at = bisect_right(mine, (g, len(size)))
-            if at:  # a move
+            if at and mine[at - 1][0] + self.gap[donor] > g:  # a move that raises the sum of squares
                 n, k = mine.pop(at - 1)
                 self.items[t].append(k)
                 self.gap[t] -= n
@@ -132,8 +146,7 @@ class Bins:
                 if best[0] == g:
                     break
             gain, k, given = best
-            # The taker is at least as full as the donor, so any gain raises the sum of squares.
-            if k is not None and self.capacity - g >= self.capacity - self.gap[donor]:
+            if k is not None and gain + self.gap[donor] > g:  # so does an exchange
                 self.items[t].remove(k)
                 for x in given:
                     mine.remove(x)
@@ -193,11 +206,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces with sequence_id and offset: as few sequences of at most ``capacity`` tokens as it can."""
     spark = cut.sparkSession
     ship(spark)
-    spread = cut.repartition(F.xxhash64("doc_id", "piece")).sortWithinPartitions("doc_id", "piece", "ids_crc32")
+    spread = cut.repartition(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id())).sortWithinPartitions("doc_id", "piece", "ids_crc32")
     placed = materialize(spread.mapInArrow(lambda b: _packed(b, capacity, 0), _PLACED), "packed")
     left = placed.where("open")
     tasks = max(1, left.count() // BLOCK)
-    again = left.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(tasks, F.xxhash64("doc_id", "piece")).sortWithinPartitions("doc_id", "piece", "ids_crc32")
+    again = left.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id())).sortWithinPartitions("doc_id", "piece", "ids_crc32")
     again = again.mapInArrow(lambda b: _packed(b, capacity, 1 << 60), _PLACED)
     return placed.where("not open").union(again).drop("open")
 
