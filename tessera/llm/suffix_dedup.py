@@ -4,12 +4,15 @@ A byte goes if it lies in a ``WIDTH``-byte string that also starts in a document
 Whole copies are told by digest first. In all other texts each window of WIDTH bytes has an anchor, its
 smallest hashed ``GRAM``-byte string, and as many bytes again left or right of it; windows of equal bytes
 have equal anchors and an equal left or right side. A first scan finds which anchors with a side occur in
-two or more documents (4 bytes each are shuffled) and marks them in a bit map of fixed size, the only
-thing broadcast: it may let some pass in vain, more of them as it fills up, but never holds one back. A
-second scan cuts the segments of windows whose anchor passes with the side that they hold. They
-are shuffled by anchor, equal ones collapsed before, and put in blocks whose suffix arrays (see gsaca)
-give each window the smallest document that holds it. A segment that many documents of a scan share (hot)
-moves without its places, which get the verdict by a lookup. Spans go back to the documents by id.
+two or more documents (4 bytes each are shuffled) and marks them in a bit map, whose size grows with the
+text from 32 to 128 MB and no further, the only thing broadcast beside bounded filters: it may let some pass in
+vain, more of them as it fills up, but never holds one back. A second scan cuts the segments of windows
+whose anchor passes with the side that they hold. They are shuffled by bucket of anchor, of about ``BUCKET``
+bytes of text each, equal ones collapsed before, and put in blocks whose suffix arrays (see gsaca) give each
+window the smallest document that holds it. A segment that many documents of a scan share (hot) moves
+without its places, which get the verdict by a lookup. A bucket that an anchor overfills, such as one at the
+edge of a passage that a third of all documents share, is shuffled on by window: equal windows meet, each with
+the smallest document of its scan, and no task holds an anchor's windows. Spans go back to the documents by id.
 
 Defined results: a null or empty text, or one under WIDTH bytes, loses nothing; a null id counts as
 smaller than any other; rows that repeat an id and a text don't remove each other; spans are merged
@@ -32,19 +35,19 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import gsaca, jvm
-from tessera.llm.common import lookup, materialize, python_batches, ship, small, texts, trim
+from tessera.llm.common import lookup, materialize, python_batches, ship, texts, trim
 
 WIDTH, GRAM = 50, 16
-#: log2 of the bits of the anchor map: 32 MB, whatever the size of the input.
-MAP_BITS = 28
+#: log2 of the bits of the anchor map: least (32 MB) and most (128 MB).
+MAP_BITS = (28, 30)
 #: Bytes of text scanned at once, of texts before a flush, and of segments in a suffix array.
 AT_ONCE, FLUSH, BLOCK = 1 << 19, 16_000_000, 1 << 18
 #: Bytes that a table of segments may take in a worker, about, before it is flushed.
 HELD = 35_000_000
 #: Occurrences of a segment in a flush that travel with it; more are hot and get their verdict by a lookup.
 TRAVEL = 64
-#: Bytes of distinct segments under one anchor; the windows of an anchor over that go under anchors of their own.
-ANCHOR_BYTES = 8_000_000
+#: Bytes of text for each bucket of anchors; bytes of segments in a bucket beyond which its windows are shuffled on their own.
+BUCKET, ANCHOR_BYTES = 8_000_000, 64_000_000
 _LOWEST = -(2**63)
 _M64 = 2**64 - 1
 
@@ -150,7 +153,7 @@ def _seen(batches: Iterator[pa.RecordBatch], width: int, slice_bits: int) -> Ite
         yield flush()
 
 
-def _mapped(batches: Iterator[pa.RecordBatch], slice_bits: int) -> Iterator[pa.RecordBatch]:
+def _mapped(batches: Iterator[pa.RecordBatch], slice_bits: int, map_bits: int) -> Iterator[pa.RecordBatch]:
     """(slice, its part of the bit map), of rows sorted by slice."""
     last, parts = None, []
 
@@ -159,8 +162,8 @@ def _mapped(batches: Iterator[pa.RecordBatch], slice_bits: int) -> Iterator[pa.R
         once.sort()
         rep = once[1:][once[1:] == once[:-1]]
         rep = np.concatenate([rep, *[_sorted(b) for _, b in parts]])
-        bits = np.zeros(1 << (MAP_BITS - slice_bits), bool)
-        bits[rep >> np.uint32(32 + slice_bits - MAP_BITS)] = True
+        bits = np.zeros(1 << (map_bits - slice_bits), bool)
+        bits[rep >> np.uint32(32 + slice_bits - map_bits)] = True
         return pa.RecordBatch.from_arrays([pa.array([last], pa.int32()), pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)])], ["slice", "bits"])
 
     for b in batches:
@@ -174,7 +177,7 @@ def _mapped(batches: Iterator[pa.RecordBatch], slice_bits: int) -> Iterator[pa.R
         yield close()
 
 
-_SEGMENTS = "bucket int, places boolean, packed binary"
+_SEGMENTS = "bucket int, places boolean, size long, packed binary"
 #: What a packed row holds: of segments, or of the places of one hot segment.
 _ENTRY = ("<i8", "<u4", "?", "<i8", "<i8", "<u4", "<i8", "<u4", "<u4", "S")
 _PLACES = ("S", "<i8", "<u4", "<u4")
@@ -208,25 +211,25 @@ def _flushed(table: dict[bytes, list], travel: int, buckets: int, flush: int) ->
         for m, e, h in zip(mine, entries, hot, strict=True):
             if h:
                 places = [xxhash.xxh3_128_digest(segments[m]), np.array(e[1], "<i8"), np.array(e[2], "<u4"), np.array(e[3], "<u4")]
-                rows.append(((k + 1 + flush) % buckets, True, _pack(places)))
+                rows.append(((k + 1 + flush) % buckets, True, 0, _pack(places)))
         flat = lambda c, kind: np.array([x for e, h in zip(entries, hot, strict=True) if not h for x in e[c]], kind)
         columns = [
             np.diff(anchor[mine], prepend=np.int64(0)), np.array([len(segments[m]) for m in mine], "<u4"), np.array(hot, "?"),
             np.array([min(e[1]) for e in entries], "<i8"), np.array([max(e[1]) for e in entries], "<i8"),
             np.array([0 if h else len(e[1]) for e, h in zip(entries, hot, strict=True)], "<u4"), flat(1, "<i8"), flat(2, "<u4"), flat(3, "<u4"), b"".join([segments[m] for m in mine]),
         ]
-        rows.append((k, False, _pack(columns)))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.binary()), strict=True)], ["bucket", "places", "packed"])
+        rows.append((k, False, sum(len(c) if c.__class__ is bytes else c.nbytes for c in columns), _pack(columns)))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.int64(), pa.binary()), strict=True)], ["bucket", "places", "size", "packed"])
 
 
-def _segments(batches: Iterator[pa.RecordBatch], width: int, travel: int, buckets: int, passing) -> Iterator[pa.RecordBatch]:
+def _segments(batches: Iterator[pa.RecordBatch], width: int, travel: int, buckets: int, map_bits: int, passing) -> Iterator[pa.RecordBatch]:
     """Distinct segments of a flush, with the documents and places they occur in."""
     bits = np.frombuffer(passing.value, np.uint8)
     task = TaskContext.get()
     flush = task.partitionId() if task else 0
     table: dict[bytes, list] = {}
     held = 0
-    passes = lambda key: (bits[key >> np.uint64(64 - MAP_BITS + 3)] >> (key >> np.uint64(64 - MAP_BITS) & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    passes = lambda key: (bits[key >> np.uint64(64 - map_bits + 3)] >> (key >> np.uint64(64 - map_bits) & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
     for ids, docs, run in _scans(batches, width):
         left, right = run["has_left"] & passes(run["left"]), run["has_right"] & passes(run["right"])
         lo, hi = np.where(left, run["pos"], run["split_right"]), np.where(right, run["pos"] + run["wins"], run["split_left"])
@@ -251,13 +254,11 @@ def _segments(batches: Iterator[pa.RecordBatch], width: int, travel: int, bucket
         yield _flushed(table, travel, buckets, flush)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], width: int, anchor_bytes: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Blocks of distinct segments, cut between anchors, of packed rows sorted by bucket.
 
     An anchor of one document has nothing to lose and is left out. A segment that is alone under its
-    anchor equals no other, so it is given its smallest document here and is not sorted. An anchor with
-    more than ``anchor_bytes`` of distinct segments is split by the hash of its windows: equal windows
-    stay together. Places of hot segments pass through.
+    anchor equals no other, so it is given its smallest document here and is not sorted.
     """
     rows: list[tuple] = []
     size = 0
@@ -273,7 +274,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, anchor_bytes: int) ->
             flat(4, "<i8"), flat(5, "<i8"), flat(6, "<i4"),
             np.array([r[2] for r in rows], "?").tobytes(),
             b"".join(r[7] for r in rows if r[2]),
-            np.array([r[8] for r in rows if r[2]], "<i8").tobytes(),
             gsaca.pack_block([r[0] for r in sort], [r[1] for r in sort]),
         ]
         return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in out], _BLOCK_NAMES)
@@ -302,47 +302,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, anchor_bytes: int) ->
                     for list_, x in zip(had[2:], (docs, tags, starts), strict=True):
                         list_.append(x[at])
             alone = len(one) == 1
-            if not alone and sum(map(len, one)) > anchor_bytes:
-                yield from split(one)
-                continue
             for s, (smallest, is_hot, d, t, p) in one.items():
                 places = ((x[0] if len(x) == 1 else np.concatenate(x)) for x in (d, t, p))
-                rows.append((s, smallest, is_hot, alone, *places, xxhash.xxh3_128_digest(s) if is_hot else b"", 0))
+                rows.append((s, smallest, is_hot, alone, *places, xxhash.xxh3_128_digest(s) if is_hot else b""))
                 size += len(s)
             if size >= BLOCK:
                 yield block()
                 rows, size = [], 0
 
-    def split(one: dict[bytes, list]):
-        """An overfull anchor's windows by hash; those of hot segments also as rows of their own, which give the verdict."""
-        nonlocal rows, size
-        if rows:
-            yield block()
-            rows, size = [], 0
-        segments = list(one)
-        windows = [[(xxhash.xxh32_intdigest(s[o : o + width]), k, o) for o in range(len(s) - width + 1)] for k, s in enumerate(segments)]
-        flat = sorted(x for w in windows for x in w)
-        at = 0
-        while at < len(flat):
-            to = min(len(flat), at + max(1, BLOCK // width))
-            while to < len(flat) and flat[to][0] == flat[to - 1][0]:
-                to += 1
-            table: dict[bytes, list] = {}
-            for _, k, o in flat[at:to]:
-                smallest, is_hot, d, t, p = one[segments[k]]
-                had = table.setdefault(segments[k][o : o + width], [smallest, [], [], []])
-                had[0] = min(had[0], smallest)
-                had[1] += d
-                had[2] += t
-                had[3] += [x.astype(np.int64) + o for x in p]
-                if is_hot:
-                    none = np.zeros(0, np.int64)
-                    rows.append((segments[k][o : o + width], smallest, True, False, none, none, none, xxhash.xxh3_128_digest(segments[k]), o))
-            for w, (smallest, d, t, p) in table.items():
-                rows.append((w, smallest, False, False, *map(np.concatenate, (d, t, p)), b"", 0))
-            yield block()
-            rows, at = [], to
-
     held: list[bytes] = []
     last = None
     for b in batches:
@@ -361,14 +328,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int, anchor_bytes: int) ->
     trim()
 
 
-_BLOCK_NAMES = ["wins", "alone", "low", "count", "docs", "tags", "starts", "hot", "keys", "shift", "block"]
+_BLOCK_NAMES = ["wins", "alone", "low", "count", "docs", "tags", "starts", "hot", "keys", "block"]
 _BLOCK_SCHEMA = ", ".join(f"{c} binary" for c in _BLOCK_NAMES)
 
 
 def _spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     """Removed spans (m_id, m_tag, s, e) of occurrences that travelled; for hot segments (key, s, e, low) of runs of windows."""
     for b in batches:
-        for wins, alone, low, count, docs, tags, starts, hot, keys, shift, minima in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for wins, alone, low, count, docs, tags, starts, hot, keys, minima in zip(*(c.to_pylist() for c in b.columns), strict=True):
             read = lambda x, kind: np.frombuffer(x, kind).astype(np.int64 if kind != "?" else bool)
             wins, alone, low, count, hot = read(wins, "<i4"), read(alone, "?"), read(low, "<i8"), read(count, "<i4"), read(hot, "?")
             lows = np.repeat(low, wins)
@@ -391,13 +358,91 @@ def _spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             if hot.any():
                 number = np.cumsum(hot) - 1
                 mine = np.flatnonzero(hot[run_seg])
-                run_at = run_at + np.where(hot, read(shift, "<i8")[np.maximum(number, 0)] if hot.any() else 0, 0)[run_seg]
                 key = pa.array([keys[16 * k : 16 * k + 16] for k in number[run_seg[mine]].tolist()], pa.binary())
                 none = pa.nulls(len(mine), pa.int64())
                 yield pa.RecordBatch.from_arrays([none, none, pa.array(run_at[mine]), pa.array(run_at[mine] + run_n[mine] + width - 1), key, pa.array(run_low[mine])], _SPAN_NAMES)
 
 
 _SPAN_NAMES = ["m_id", "m_tag", "s", "e", "key", "low"]
+_SPAN_SCHEMA = "m_id long, m_tag long, s long, e long, key binary, low long"
+
+
+#: What a packed row of windows holds: bytes, smallest documents, numbers of places, places, numbers of hot segments, their keys and offsets.
+_WINDOWS = ("S", "<i8", "<u4", "<i8", "<u4", "<u4", "<u4", "S", "<u4")
+
+
+def _cut(batches: Iterator[pa.RecordBatch], width: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows of segments as packed rows of their windows by bucket of the window's hash, equal ones of a row collapsed."""
+    for b in batches:
+        for packed in b.column(0).to_pylist():
+            _, length, hot, low, _, count, docs, tags, starts, text = _unpack(packed, _ENTRY)
+            text_end, place_end = np.cumsum(length, dtype=np.int64).tolist(), np.cumsum(count, dtype=np.int64).tolist()
+            table: dict[bytes, list] = {}
+            for k, (n, is_hot, least, times) in enumerate(zip(length.tolist(), hot.tolist(), low.tolist(), count.tolist(), strict=True)):
+                s = text[text_end[k] - n : text_end[k]]
+                key = xxhash.xxh3_128_digest(s) if is_hot else None
+                at = slice(place_end[k] - times, place_end[k])
+                for o in range(n - width + 1):
+                    had = table.setdefault(s[o : o + width], [least, [], []])
+                    had[0] = min(had[0], least)
+                    had[1].append((at, o))
+                    if is_hot:
+                        had[2].append((key, o))
+            parts: dict[int, list] = {}
+            for w in table:
+                parts.setdefault(xxhash.xxh3_64_intdigest(w) % buckets, []).append(w)
+            rows = []
+            for bucket, mine in parts.items():
+                entries = [table[w] for w in mine]
+                places = [x for e in entries for x in e[1]]
+                join = lambda c, kind: np.concatenate([np.zeros(0, kind), *[c[at] for at, _ in places]]).astype(kind)  # noqa: E731, B023
+                shifted = np.concatenate([np.zeros(0, "<u4"), *[starts[at] + np.uint32(o) for at, o in places]]).astype("<u4")
+                refs = [r for e in entries for r in e[2]]
+                columns = [
+                    b"".join(mine), np.array([e[0] for e in entries], "<i8"), np.array([sum(at.stop - at.start for at, _ in e[1]) for e in entries], "<u4"), join(docs, "<i8"), join(tags, "<u4"), shifted,
+                    np.array([len(e[2]) for e in entries], "<u4"), b"".join([r[0] for r in refs]), np.array([r[1] for r in refs], "<u4"),
+                ]
+                rows.append((bucket, _pack(columns)))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary()), strict=True)], ["bucket", "packed"])
+
+
+def _window_spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The same spans as _spans gives, of packed rows of windows sorted by bucket: the smallest document of each window, then the places beyond it."""
+
+    def bucket(packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        least: dict[bytes, int] = {}
+        for x in packed:
+            text, low, *_ = _unpack(x, _WINDOWS)
+            for k, n in enumerate(low.tolist()):
+                w = text[k * width : (k + 1) * width]
+                if least.setdefault(w, n) > n:
+                    least[w] = n
+        for x in packed:
+            text, low, count, docs, tags, starts, n_refs, keys, shift = _unpack(x, _WINDOWS)
+            lows = np.array([least[text[k * width : (k + 1) * width]] for k in range(len(low))], np.int64)
+            of = np.repeat(lows, count)
+            hit = np.flatnonzero(of < docs)
+            at, none = starts[hit].astype(np.int64), pa.nulls(len(hit), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(docs[hit]), pa.array(tags[hit].astype(np.int64)), pa.array(at), pa.array(at + width), none, pa.array(of[hit])], _SPAN_NAMES)
+            if len(shift):
+                at, none = shift.astype(np.int64), pa.nulls(len(shift), pa.int64())
+                named = pa.array([keys[16 * k : 16 * k + 16] for k in range(len(shift))], pa.binary())
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(at), pa.array(at + width), named, pa.array(np.repeat(lows, n_refs))], _SPAN_NAMES)
+
+    held: list[bytes] = []
+    last = None
+    for b in batches:
+        for k, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if k != last and held:
+                yield from bucket(held)
+                held = []
+            last = k
+            held.append(packed)
+    if held:
+        yield from bucket(held)
+    held = []
+    trim()
 
 
 def _hot_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,39 +459,51 @@ def _tag(text) -> Column:
 
 
 def marks(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", engine: str = "jvm", travel: int = TRAVEL, anchor_bytes: int = ANCHOR_BYTES) -> DataFrame:
-    """(m_id, m_tag, whole, starts, ends) of the texts that lose bytes; m_tag is half of the text's xxhash64."""
+    """(m_id, m_tag, whole, starts, ends, n) of the texts that lose bytes; m_tag is half of the text's xxhash64, n the rows that have both."""
     spark = docs.sparkSession
     ship(spark)
-    source = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("doc_id"), "text")
-    rows = materialize(source.select("doc_id", _tag("text").alias("tag"), F.octet_length("text").alias("size"), F.unhex(F.sha2("text", 256)).alias("key")), "suffix-digests")
+    source = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(_LOWEST)).alias("doc_id"), "text", F.unhex(F.sha2("text", 256)).alias("key"))
+    rows = materialize(source.select("doc_id", _tag("text").alias("tag"), F.octet_length("text").alias("size"), "key"), "suffix-digests")
     told = rows.agg(F.count("key").alias("n"), F.sum(F.col("size").cast("long")).alias("bytes")).first()
+    size = told.bytes or 0
     groups = materialize(rows.groupBy("key").agg(F.min("doc_id").alias("first"), F.count("key").alias("n")).where("n > 1"), "suffix-copies")
-    copies = lookup(rows, groups, "key", "n", told.n).where(f"doc_id > first and size >= {width}").select(F.col("doc_id").alias("m_id"), F.col("tag").alias("m_tag"))
-    copies = materialize(copies.distinct(), "suffix-copied")
-    gone = F.broadcast(copies) if small(copies) else copies.hint("shuffle_hash")
-    own = source.join(gone, (F.col("doc_id") == F.col("m_id")) & (_tag("text") == F.col("m_tag")), "left_anti")
+    copies = lookup(rows, groups, "key", "n", told.n).where(f"doc_id > first and size >= {width}")
+    copies = copies.groupBy(F.col("doc_id").alias("m_id"), F.col("tag").alias("m_tag")).agg(F.count("key").alias("n"))
+    copies = materialize(copies, "suffix-copied")
+    own = lookup(source, groups, "key", "n", told.n).where(f"first is null or doc_id <= first or octet_length(text) < {width}").select("doc_id", "text")
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slice_bits = min(16, max(8, (4 * partitions - 1).bit_length()))
+    map_bits = min(MAP_BITS[1], max(MAP_BITS[0], size.bit_length() - 5))
+    slice_bits = min(16, max(8, (4 * partitions - 1).bit_length(), (size // FLUSH).bit_length()))
     seen = own.mapInArrow(lambda b: _seen(b, width, slice_bits), "slice int, once binary, several binary")
-    mapped = seen.repartition("slice").sortWithinPartitions("slice").mapInArrow(lambda b: _mapped(b, slice_bits), "slice int, bits binary")
-    part = 1 << (MAP_BITS - slice_bits - 3)
-    bits = bytearray(1 << (MAP_BITS - 3))
-    for row in mapped.toLocalIterator():  # at most 32 MB in all
+    mapped = seen.repartition("slice").sortWithinPartitions("slice").mapInArrow(lambda b: _mapped(b, slice_bits, map_bits), "slice int, bits binary")
+    part = 1 << (map_bits - slice_bits - 3)
+    bits = bytearray(1 << (map_bits - 3))
+    for row in mapped.toLocalIterator():  # at most 128 MB in all
         bits[row.slice * part : (row.slice + 1) * part] = zlib.decompress(row.bits)
-    passing = spark.sparkContext.broadcast(bytes(bits))
-    buckets = 4 * partitions
-    found = materialize(own.mapInArrow(lambda b: _segments(b, width, travel, buckets, passing), _SEGMENTS), "suffix-segments")
+    passing = spark.sparkContext.broadcast(bits)
+    buckets = max(4 * partitions, size // BUCKET)
+    found = materialize(own.mapInArrow(lambda b: _segments(b, width, travel, buckets, map_bits, passing), _SEGMENTS), "suffix-segments")
     passing.unpersist()
-    ready = found.where("not places").select("bucket", "packed").repartition("bucket").sortWithinPartitions("bucket")
-    blocks = ready.mapInArrow(lambda b: _blocks(b, width, anchor_bytes), _BLOCK_SCHEMA)
+    entries = found.where("not places").select("bucket", "size", "packed")
+    heavy = materialize(entries.groupBy("bucket").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > anchor_bytes), "suffix-heavy")
+    heavy_bytes = heavy.agg(F.sum("bytes")).first()[0] or 0
+    light = entries.join(heavy.select("bucket"), "bucket", "left_anti") if heavy_bytes else entries
+    tasks = max(partitions, buckets // 16)
+    blocks = light.select("bucket", "packed").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _blocks(b, width), _BLOCK_SCHEMA)
     if engine == "jvm":
-        source = gsaca.SOURCE.replace("WIDTH", str(width)).replace("WindowMinima", f"WindowMinima{width}")  # class names are global
-        name = jvm.register(spark, f"tessera_window_minima_{width}", f"{gsaca.CLASS}{width}", source, "binary")
+        java = gsaca.SOURCE.replace("WIDTH", str(width)).replace("WindowMinima", f"WindowMinima{width}")  # class names are global
+        name = jvm.register(spark, f"tessera_window_minima_{width}", f"{gsaca.CLASS}{width}", java, "binary")
         solved = blocks.select(*_BLOCK_NAMES[:-1], F.expr(f"{name}(block)").alias("minima"))
     else:
         solved = blocks.mapInArrow(lambda b: _python_minima(b, width), _BLOCK_SCHEMA.replace("block", "minima"))
-    spans = materialize(solved.mapInArrow(lambda b: _spans(b, width), "m_id long, m_tag long, s long, e long, key binary, low long"), "suffix-spans")
-    hot = spans.where("key is not null").groupBy("key").agg(F.collect_list(F.struct("s", "e", "low")).alias("runs"))
+    spans = solved.mapInArrow(lambda b: _spans(b, width), _SPAN_SCHEMA)
+    if heavy_bytes:
+        windows = max(partitions, 20 * heavy_bytes // BUCKET)
+        cut = entries.join(heavy.select("bucket"), "bucket", "left_semi").select("packed").mapInArrow(lambda b: _cut(b, width, windows), "bucket int, packed binary")
+        cut = cut.repartition(max(partitions, windows // 16), "bucket").sortWithinPartitions("bucket")
+        spans = spans.union(cut.mapInArrow(lambda b: _window_spans(b, width), _SPAN_SCHEMA))
+    spans = materialize(spans, "suffix-spans")
+    hot = spans.where("key is not null").groupBy("key").agg(F.collect_set(F.struct("s", "e", "low")).alias("runs"))  # a segment has at most one run a window
     spans = spans.where("key is null").select("m_id", "m_tag", "s", "e")
     if not hot.isEmpty():
         places = materialize(found.where("places").select("packed").mapInArrow(_hot_places, "key binary, docs long, texts long, starts long"), "suffix-hot-places")
@@ -454,10 +511,11 @@ def marks(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
         index = materialize(hot.join(sizes, "key"), "suffix-hot-runs")
         hit = lookup(places, index, "key", "n", places.count()).select("docs", "texts", "starts", F.explode("runs").alias("r")).where("r.low < docs")
         spans = spans.union(hit.select("docs", "texts", F.col("starts") + F.col("r.s"), F.col("starts") + F.col("r.e")))
-    lists = spans.groupBy("m_id", "m_tag").agg(F.sort_array(F.collect_list(F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e")))).alias("spans"))
-    lists = lists.select("m_id", "m_tag", F.lit(False).alias("whole"), F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"))
+    one = F.struct(F.col("s").cast("int").alias("s"), F.col("e").cast("int").alias("e"))
+    lists = spans.groupBy("m_id", "m_tag").agg(F.sort_array(F.collect_set(one)).alias("spans"), F.count("s").alias("found"))
+    lists = lists.select("m_id", "m_tag", F.lit(False).alias("whole"), F.col("spans.s").alias("starts"), F.col("spans.e").alias("ends"), F.expr("found div size(spans)").alias("n"))
     none = F.array().cast("array<int>")
-    return materialize(lists.union(copies.select("m_id", "m_tag", F.lit(True), none, none)), "suffix-marks")
+    return materialize(lists.union(copies.select("m_id", "m_tag", F.lit(True), none, none, "n")), "suffix-marks")
 
 
 def _python_minima(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -467,11 +525,12 @@ def _python_minima(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa
 
 
 def _marked(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with the columns of marks beside them."""
-    found = found.toDF("_m_id", "_m_tag", "_m_whole", "_m_starts", "_m_ends")
-    side = F.broadcast(found) if small(found, 300_000) else found.hint("shuffle_hash")
+    """docs with the columns of marks beside them; only texts that lose bytes move (and few that the filter lets pass)."""
+    keys = ["__tessera_m_id", "__tessera_m_tag"]
+    index = found.toDF(*keys, "_m_whole", "_m_starts", "_m_ends", "_m_n")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.join(side, (F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)) == F.col("_m_id")) & (_tag(text) == F.col("_m_tag")), "left")
+    keyed = docs.withColumns({keys[0]: F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)), keys[1]: _tag(text)})
+    return lookup(keyed, index, keys, "_m_n", docs.count())
 
 
 def merged(starts: list[int], ends: list[int]) -> list[list[int]]:
