@@ -6,6 +6,9 @@ from tessera.llm import quality as q
 
 _W, _S = r"[^\x20\x09-\x0D]", r"[\x20\x09-\x0D]+"
 
+_quoted = lambda x: x.replace("'", "''")
+_LABELS = ", ".join(f"'{_quoted(x)}'" for x in q.LABELS)
+
 OP3 = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(x) AS text_sha256
 FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents) t WINDOW g AS (PARTITION BY x)
@@ -14,8 +17,14 @@ FROM (SELECT doc_id, coalesce(text, '') AS x FROM documents) t WINDOW g AS (PART
 OP4 = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 e AS (SELECT doc_id, x, regexp_extract_all(x, '{_W}+') AS w, list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '{_W}')) AS ls FROM d),
-f AS (SELECT *, list_filter(ls, lambda l: NOT (len(regexp_extract_all(l, '{q.SYMBOLS}')) * {q.PER_SYMBOL} > length(l) OR len(regexp_extract_all(l, '!!')) * {q.PER_SHOUT} > length(l)
-    OR (length(l) >= {q.LONG_LINE} AND NOT regexp_matches(l, '{q.MARKS}')) OR (length(l) <= {q.SHORT_LINE} AND regexp_matches(l, '{q.BOILERPLATE}')))) AS good FROM e),
+f AS (SELECT *, list_filter(ls, lambda l: NOT ((len(regexp_extract_all(l, '{q.SYMBOLS}')) >= 2 AND len(regexp_extract_all(l, '{q.SYMBOLS}')) * {q.PER_SYMBOL} > length(l))
+    OR len(regexp_extract_all(l, '!!')) * {q.PER_SHOUT} > length(l)
+    OR (length(l) >= {q.LONG_LINE} AND NOT regexp_matches(l, '{q.MARKS}') AND NOT regexp_matches(l, '{q.UNMARKED}'))
+    OR (length(l) <= {q.SHORT_LINE} AND regexp_matches(l, '{_quoted(q.BOILERPLATE)}'))
+    OR (length(l) <= {q.SHORT_LINE} AND NOT regexp_matches(l, '{q.MARKS}') AND len(regexp_extract_all(l, '{q.SEPARATORS}')) >= 2
+        AND (len(regexp_extract_all(l, '{q.SEPARATORS}')) + 1) * {q.NAV_ITEM} >= length(l))
+    OR (length(l) <= {q.SHORT_LINE} AND regexp_matches(l, '{q.LINK}') AND NOT regexp_matches(l, '{q.TWO_WORDS}'))
+    OR (length(l) <= {q.LABEL} AND trim(lower(regexp_replace(l, '{_S}', ' ', 'g'))) IN ({_LABELS})))) AS good FROM e),
 g AS (SELECT doc_id, i, w[i:i + {q.WINDOW - 1}] AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - {q.WINDOW - 2})) AS i FROM f) t),
 h AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM g),
 r AS (SELECT doc_id, CAST(sum(c) AS BIGINT) AS n FROM (SELECT doc_id, least({q.WINDOW}, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, {q.WINDOW})) AS c FROM h WHERE n > 1) t GROUP BY doc_id),

@@ -51,8 +51,13 @@ def quality(rows):
         base = len(w) < 10 or 100 * len(again) > 20 * len(w)
         good = []
         for x in lines:
-            bad = len(re.findall(q.SYMBOLS, x)) * q.PER_SYMBOL > len(x) or x.count("!!") * q.PER_SHOUT > len(x)
-            bad = bad or len(x) >= q.LONG_LINE and not re.search(q.MARKS, x) or len(x) <= q.SHORT_LINE and bool(re.search(q.BOILERPLATE, x))
+            n, seps, marked = len(re.findall(q.SYMBOLS, x)), len(re.findall(q.SEPARATORS, x)), re.search(q.MARKS, x)
+            bad = n >= 2 and n * q.PER_SYMBOL > len(x) or x.count("!!") * q.PER_SHOUT > len(x)
+            bad = bad or len(x) >= q.LONG_LINE and not marked and not re.search(q.UNMARKED, x)
+            if len(x) <= q.SHORT_LINE:
+                bad = bad or re.search(q.BOILERPLATE, x) or not marked and seps >= 2 and (seps + 1) * q.NAV_ITEM >= len(x)
+                bad = bad or re.search(q.LINK, x) and not re.search(q.TWO_WORDS, x)
+            bad = bad or len(x) <= q.LABEL and re.sub(q.SPACE, " ", x).lower().strip(" ") in q.LABELS
             if not bad:
                 good.append(x)
         enough = len("".join(good)) * 100 >= q.MIN_LEFT * len("".join(lines))
