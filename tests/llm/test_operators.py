@@ -302,7 +302,6 @@ def test_lookup_with_hot_keys(spark, monkeypatch):
     from tessera.llm import common
 
     monkeypatch.setattr(common, "HOT_KEYS", 10)
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 20)
     rows = spark.createDataFrame([(k, "hot" if k % 3 == 0 else f"c{k % 50}") for k in range(300)] + [(999, "none")], "id long, key string")
     index = rows.where("key <> 'none'").groupBy("key").count().withColumnRenamed("count", "n")
     out = {r.id: r.n for r in common.lookup(rows, index, "key", "n", 301).collect()}
