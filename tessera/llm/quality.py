@@ -103,7 +103,10 @@ def line_passes(line: Column) -> Column:
 
 
 def _judged(docs: DataFrame, text_col: str, counts: bool) -> DataFrame:
-    """docs with one struct column ``__tessera_q`` of what the rules say; counts are only needed where they are returned."""
+    """docs with one struct column ``__tessera_q`` of what the rules say; counts are only needed where they are returned.
+
+    The struct comes out of a generator, so the optimizer can't evaluate it again in a filter on it.
+    """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
     def lines(found: Column) -> Column:
@@ -116,7 +119,7 @@ def _judged(docs: DataFrame, text_col: str, counts: bool) -> DataFrame:
 
     more = [F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"), F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols")]
     judged = F.struct(repeated_words(words_of(text)).alias("words"), let(lines_of(text), lines).alias("lines"), *more * counts)
-    return docs.withColumn("__tessera_q", judged)
+    return docs.select("*", F.explode(F.array(judged)).alias("__tessera_q"))
 
 
 _BASE = "(__tessera_q.words.n_words < {0} or 100 * __tessera_q.words.n_repeat_words > {1} * __tessera_q.words.n_words)".format(MIN_WORDS, MAX_REPEATED)
@@ -133,6 +136,6 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def cleaned(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that the rules keep, with all their columns; the text is that of the lines that pass."""
-    out = _judged(docs, text_col, True).where(F.expr(_KEPT))
+    out = _judged(docs, text_col, False).where(F.expr(_KEPT))
     text = F.when(F.expr("__tessera_q.lines.n_bad_lines = 0"), F.col(text_col)).otherwise(F.array_join("__tessera_q.lines.lines", "\n"))
     return out.withColumn(text_col, text).drop("__tessera_q")
