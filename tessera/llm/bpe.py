@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import python_batches, ship, texts
+from tessera.llm.common import python_batches, ship, texts, tidy, trim
 
 #: Longest word, in bytes, that is held as a row of ranks.
 SHORT = 64
@@ -69,6 +69,8 @@ class WordBpe:
         self.pairs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         whole = Tokenizer.from_file(path)
         self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
+        del spec, vocab, pairs, keys, whole
+        trim()
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -273,7 +275,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), arrays], ["doc_id", "ids"])
 
     ship(docs.sparkSession)
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
+    return texts(docs, id_col, text_col).transform(tidy, run, "doc_id long, ids array<int>")
 
 
 def decode(encoded_docs: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -286,7 +288,7 @@ def decode(encoded_docs: DataFrame, path: str, id_col: str = "doc_id", ids_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
     ship(encoded_docs.sparkSession)
-    return encoded_docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{ids_col}` ids").mapInArrow(run, "doc_id long, text string")
+    return encoded_docs.selectExpr(f"cast(`{id_col}` as long) doc_id", f"`{ids_col}` ids").transform(tidy, run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -318,4 +320,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             )
 
     ship(docs.sparkSession)
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return texts(docs, id_col, text_col).transform(tidy, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

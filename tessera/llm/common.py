@@ -75,11 +75,22 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *more
 def trim() -> None:
     """Give freed memory back to the system: workers are reused, and their peak would stay with them."""
     try:
+        pa.default_memory_pool().release_unused()
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):  # another C library
         pass
 
 
+def tidy(df: DataFrame, work, schema) -> DataFrame:
+    """df.mapInArrow(work, schema), whose workers give back what a task held when it is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        trim()
+
+    return df.mapInArrow(run, schema)
+
+
 def python_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
     """(ids, texts) lists of bounded size; a text longer than the bound comes alone."""
     ids: list = []
@@ -98,8 +109,6 @@ def python_batches(batches: Iterator[pa.RecordBatch], max_chars: int = 4_000_000
                 held += len(t)
     if ids:
         yield ids, out
-    del ids, out
-    trim()
 
 
 def let(value: Column, body) -> Column:

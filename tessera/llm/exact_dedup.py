@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, materialize, maybe_in, python_batches, ship, texts
+from tessera.llm.common import lookup, materialize, maybe_in, python_batches, ship, texts, tidy
 
 #: A memtable is flushed beyond so many rows or characters of distinct text.
 MEMTABLE_ROWS, MEMTABLE_CHARS = 20_000, 32_000_000
@@ -194,11 +194,11 @@ def exact_dedup(docs: DataFrame, keep: str = "largest", id_col: str = "doc_id",
     spark = docs.sparkSession
     ship(spark)
     source = texts(docs, id_col, text_col)
-    runs = materialize(source.mapInArrow(lambda b: flushed(b, keep, digest_bytes), _RUNS), "dedup-runs")
+    runs = materialize(source.transform(tidy, lambda b: flushed(b, keep, digest_bytes), _RUNS), "dedup-runs")
     entries = runs.select("digest", "run", "variant", "best", F.size("members").alias("rows"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries.count() // BUCKET_ENTRIES)
     index = materialize(
-        entries.repartition(buckets, "digest").sortWithinPartitions("run", "digest").mapInArrow(lambda b: compacted(b, keep, digest_bytes), "digest binary, keep_id long, group_size long, hit boolean, mixed boolean"),
+        entries.repartition(buckets, "digest").sortWithinPartitions("run", "digest").transform(tidy, lambda b: compacted(b, keep, digest_bytes), "digest binary, keep_id long, group_size long, hit boolean, mixed boolean"),
         "dedup-index",
     )
     told = index.agg(F.sum("group_size").alias("n"), F.count_if(F.col("mixed")).alias("mixed"), F.count_if("hit").alias("hits")).first()

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import python_batches, ship, texts
+from tessera.llm.common import python_batches, ship, texts, tidy
 
 SHINGLE, BANDS, MIN_CONTAINED, MAX_TEMPLATES, WHOLE = 5, 48, 0.8, 5_000, 4
 _WORDS = re.compile(r"[^\W_]+")
@@ -216,4 +216,4 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     ship(docs.sparkSession)
-    return texts(docs, id_col, text_col).mapInArrow(run, schema)
+    return texts(docs, id_col, text_col).transform(tidy, run, schema)

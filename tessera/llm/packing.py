@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import encoded
-from tessera.llm.common import materialize, ship, texts
+from tessera.llm.common import materialize, ship, texts, tidy
 
 CAPACITY, END_ID = 4096, 1
 #: Pieces packed at once in a task.
@@ -53,7 +53,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = E
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     ship(docs.sparkSession)
-    return texts(docs, id_col, text_col).mapInArrow(run, _PIECE)
+    return texts(docs, id_col, text_col).transform(tidy, run, _PIECE)
 
 
 class Bins:
@@ -207,11 +207,11 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     ship(spark)
     spread = cut.repartition(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id())).sortWithinPartitions("doc_id", "piece", "ids_crc32")
-    placed = materialize(spread.mapInArrow(lambda b: _packed(b, capacity, 0), _PLACED), "packed")
+    placed = materialize(spread.transform(tidy, lambda b: _packed(b, capacity, 0), _PLACED), "packed")
     left = placed.where("open")
     tasks = max(1, left.count() // BLOCK)
     again = left.select("doc_id", "piece", "start", "length", "ids_crc32").repartition(tasks, F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id())).sortWithinPartitions("doc_id", "piece", "ids_crc32")
-    again = again.mapInArrow(lambda b: _packed(b, capacity, 1 << 60), _PLACED)
+    again = again.transform(tidy, lambda b: _packed(b, capacity, 1 << 60), _PLACED)
     return placed.where("not open").union(again).drop("open")
 
 

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import HOT_KEYS, lookup, materialize, ship, texts
+from tessera.llm.common import HOT_KEYS, lookup, materialize, ship, texts, tidy
 
 SHARDS = 8
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -108,12 +108,12 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         free[s] -= (g.bytes, g.tokens, g.n)
     free = np.maximum(free, 0)
     free = (free / np.maximum(free.sum(0), 1e-9)).tolist()
-    where = groups.where(~hot).repartition("key").sortWithinPartitions("key").select("key", "bytes", "tokens", "n").mapInArrow(lambda b: _placed(b, free), "key binary, n long, shard int")
+    where = groups.where(~hot).repartition("key").sortWithinPartitions("key").select("key", "bytes", "tokens", "n").transform(tidy, lambda b: _placed(b, free), "key binary, n long, shard int")
     if large:
         where = where.union(docs.sparkSession.createDataFrame([(g.key, g.n, s) for g, s in zip(large, fixed, strict=True)], "key binary, n long, shard int"))
     where = materialize(where, "shard-groups-placed")
     put = lookup(rows, where, "key", "n", int(sums[2])).select("doc_id", "size", "text_crc32", "shard")
-    put = materialize(put.mapInArrow(lambda b: _numbered(b, shards), "doc_id long, size long, text_crc32 long, shard int, task long, local long"), "shard-slots")
+    put = materialize(put.transform(tidy, lambda b: _numbered(b, shards), "doc_id long, size long, text_crc32 long, shard int, task long, local long"), "shard-slots")
     counts = put.groupBy("shard", "task").agg(F.count("shard").alias("n"))
     before = Window.partitionBy("shard").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = materialize(counts.select("shard", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "shard-offsets")

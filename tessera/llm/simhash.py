@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import components, lookup, materialize, python_batches, ship, texts
+from tessera.llm.common import components, lookup, materialize, python_batches, ship, texts, tidy
 
 SHINGLE, SEED, MAX_DIFF = 3, 42, 2
 #: Fingerprints under one key that are compared with each other; larger groups are refined.
@@ -86,7 +86,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(fps)], ["doc_id", "fp"])
 
     ship(docs.sparkSession)
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return texts(docs, id_col, text_col).transform(tidy, run, "doc_id long, fp long")
 
 
 def _ring(x: np.ndarray) -> np.ndarray:
@@ -175,7 +175,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
         cold = keyed
         if hot is not None:
             cold = keyed.join(hot, ["mask", "value"], "left_anti")  # the engine broadcasts by bytes, or shuffles
-        found = cold.repartition("mask", "value").sortWithinPartitions("mask", "value").mapInArrow(_links, "a long, b long")
+        found = cold.repartition("mask", "value").sortWithinPartitions("mask", "value").transform(tidy, _links, "a long, b long")
         out = found if out is None else out.union(found)
         if hot is None:
             return out

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import gsaca, jvm
-from tessera.llm.common import lookup, materialize, python_batches, ship, texts, trim
+from tessera.llm.common import lookup, materialize, python_batches, ship, texts, tidy, trim
 
 WIDTH, GRAM = 50, 16
 #: log2 of the bits of the anchor map: least (32 MB) and most (128 MB).
@@ -324,8 +324,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         yield from bucket(held)
     if rows:
         yield block()
-    held, rows = [], []
-    trim()
 
 
 _BLOCK_NAMES = ["wins", "alone", "low", "count", "docs", "tags", "starts", "hot", "keys", "block"]
@@ -441,8 +439,6 @@ def _window_spans(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.
             held.append(packed)
     if held:
         yield from bucket(held)
-    held = []
-    trim()
 
 
 def _hot_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,39 +470,39 @@ def marks(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     map_bits = min(MAP_BITS[1], max(MAP_BITS[0], size.bit_length() - 5))
     slice_bits = min(16, max(8, (4 * partitions - 1).bit_length(), (size // FLUSH).bit_length()))
-    seen = own.mapInArrow(lambda b: _seen(b, width, slice_bits), "slice int, once binary, several binary")
-    mapped = seen.repartition("slice").sortWithinPartitions("slice").mapInArrow(lambda b: _mapped(b, slice_bits, map_bits), "slice int, bits binary")
+    seen = own.transform(tidy, lambda b: _seen(b, width, slice_bits), "slice int, once binary, several binary")
+    mapped = seen.repartition("slice").sortWithinPartitions("slice").transform(tidy, lambda b: _mapped(b, slice_bits, map_bits), "slice int, bits binary")
     part = 1 << (map_bits - slice_bits - 3)
     bits = bytearray(1 << (map_bits - 3))
     for row in mapped.toLocalIterator():  # at most 128 MB in all
         bits[row.slice * part : (row.slice + 1) * part] = zlib.decompress(row.bits)
     passing = spark.sparkContext.broadcast(bits)
     buckets = max(4 * partitions, size // BUCKET)
-    found = materialize(own.mapInArrow(lambda b: _segments(b, width, travel, buckets, map_bits, passing), _SEGMENTS), "suffix-segments")
+    found = materialize(own.transform(tidy, lambda b: _segments(b, width, travel, buckets, map_bits, passing), _SEGMENTS), "suffix-segments")
     passing.unpersist()
     entries = found.where("not places").select("bucket", "size", "packed")
     heavy = materialize(entries.groupBy("bucket").agg(F.sum("size").alias("bytes")).where(F.col("bytes") > anchor_bytes), "suffix-heavy")
     heavy_bytes = heavy.agg(F.sum("bytes")).first()[0] or 0
     light = entries.join(heavy.select("bucket"), "bucket", "left_anti") if heavy_bytes else entries
     tasks = max(partitions, buckets // 16)
-    blocks = light.select("bucket", "packed").repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda b: _blocks(b, width), _BLOCK_SCHEMA)
+    blocks = light.select("bucket", "packed").repartition(tasks, "bucket").sortWithinPartitions("bucket").transform(tidy, lambda b: _blocks(b, width), _BLOCK_SCHEMA)
     if engine == "jvm":
         java = gsaca.SOURCE.replace("WIDTH", str(width)).replace("WindowMinima", f"WindowMinima{width}")  # class names are global
         name = jvm.register(spark, f"tessera_window_minima_{width}", f"{gsaca.CLASS}{width}", java, "binary")
         solved = blocks.select(*_BLOCK_NAMES[:-1], F.expr(f"{name}(block)").alias("minima"))
     else:
-        solved = blocks.mapInArrow(lambda b: _python_minima(b, width), _BLOCK_SCHEMA.replace("block", "minima"))
-    spans = solved.mapInArrow(lambda b: _spans(b, width), _SPAN_SCHEMA)
+        solved = blocks.transform(tidy, lambda b: _python_minima(b, width), _BLOCK_SCHEMA.replace("block", "minima"))
+    spans = solved.transform(tidy, lambda b: _spans(b, width), _SPAN_SCHEMA)
     if heavy_bytes:
         windows = max(partitions, 20 * heavy_bytes // BUCKET)
-        cut = entries.join(heavy.select("bucket"), "bucket", "left_semi").select("packed").mapInArrow(lambda b: _cut(b, width, windows), "bucket int, packed binary")
+        cut = entries.join(heavy.select("bucket"), "bucket", "left_semi").select("packed").transform(tidy, lambda b: _cut(b, width, windows), "bucket int, packed binary")
         cut = cut.repartition(max(partitions, windows // 16), "bucket").sortWithinPartitions("bucket")
-        spans = spans.union(cut.mapInArrow(lambda b: _window_spans(b, width), _SPAN_SCHEMA))
+        spans = spans.union(cut.transform(tidy, lambda b: _window_spans(b, width), _SPAN_SCHEMA))
     spans = materialize(spans, "suffix-spans")
     hot = spans.where("key is not null").groupBy("key").agg(F.collect_set(F.struct("s", "e", "low")).alias("runs"))  # a segment has at most one run a window
     spans = spans.where("key is null").select("m_id", "m_tag", "s", "e")
     if not hot.isEmpty():
-        places = materialize(found.where("places").select("packed").mapInArrow(_hot_places, "key binary, docs long, texts long, starts long"), "suffix-hot-places")
+        places = materialize(found.where("places").select("packed").transform(tidy, _hot_places, "key binary, docs long, texts long, starts long"), "suffix-hot-places")
         sizes = places.groupBy("key").agg(F.count("docs").alias("n"))
         index = materialize(hot.join(sizes, "key"), "suffix-hot-runs")
         hit = lookup(places, index, "key", "n", places.count()).select("docs", "texts", "starts", F.explode("runs").alias("r")).where("r.low < docs")
@@ -566,7 +562,7 @@ def digests(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_co
                 names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return beside.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return beside.transform(tidy, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -583,8 +579,7 @@ def without_repeats(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id",
                 arrays = b.columns[:-3]
                 arrays[at] = pa.array(out, pa.string())
                 yield pa.RecordBatch.from_arrays(arrays, columns)
-        trim()
 
     schema = T.StructType([T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema])
-    lost = beside.where("_m_whole is not null").select(*columns, "_m_whole", "_m_starts", "_m_ends").mapInArrow(cut, schema)
+    lost = beside.where("_m_whole is not null").select(*columns, "_m_whole", "_m_starts", "_m_ends").transform(tidy, cut, schema)
     return beside.where("_m_whole is null").select(*columns).union(lost)

@@ -21,7 +21,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import python_batches, ship, texts
+from tessera.llm.common import python_batches, ship, texts, tidy
 
 MARK, NODES, WORDS, UNKNOWN = "▁", 1_500_000, 500_000, -10.0
 #: Characters of a word whose states are kept in the trie; bytes of the longest word whose count is remembered.
@@ -140,4 +140,4 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, words, tokens)], ["doc_id", "n_words", "n_tokens"])
 
     ship(docs.sparkSession)
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return texts(docs, id_col, text_col).transform(tidy, run, "doc_id long, n_words long, n_tokens long")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, materialize, scratch, ship
+from tessera.llm.common import lookup, materialize, scratch, ship, tidy
 
 ARCHIVE_BYTES = 24_000_000
 #: Bytes of archives that a task reads back, about.
@@ -150,7 +150,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     told = lookup(keyed, first, "key", "n", rows.count())  # pages of a payload of their own, or of a hot one, stay where they are read
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     told = told.select("page_id", "url", "html", F.when(again, "revisit").otherwise("response").alias("kind"), F.when(again, F.col("first")).alias("refers_to"))
-    return materialize(told.mapInArrow(lambda b: _written(b, folder), "path string, records long, bytes long"), "warc-manifest")
+    return materialize(told.transform(tidy, lambda b: _written(b, folder), "path string, records long, bytes long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
@@ -177,7 +177,7 @@ def read_archives(manifest: DataFrame, payload: bool = True) -> DataFrame:
 
     ship(manifest.sparkSession)
     schema = "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long" + ", payload binary" * payload
-    return manifest.select("path").repartition(spread).mapInArrow(run, schema)
+    return manifest.select("path").repartition(spread).transform(tidy, run, schema)
 
 
 def _batch(rows: list[tuple], kinds: list) -> pa.RecordBatch:
