@@ -27,8 +27,8 @@ sql("join_nested_loop_semi", "SELECT s_suppkey FROM supplier WHERE EXISTS (SELEC
 sql("join_nested_loop_full", "SELECT n_nationkey, r_regionkey FROM nation FULL JOIN region ON n_regionkey + r_regionkey > 7 AND n_nationkey > 10")
 sql("join_cartesian_regions", "SELECT r1.r_name AS a, r2.r_name AS b FROM region r1 CROSS JOIN region r2")
 sql("join_range_condition", "SELECT s_suppkey, p_partkey FROM supplier JOIN part ON s_nationkey = p_size AND p_retailprice BETWEEN s_acctbal - 500 AND s_acctbal + 500")
-sql("join_null_safe_equal", "SELECT a.k AS ak, b.k AS bk FROM (SELECT CASE WHEN c_nationkey > 3 THEN c_nationkey END AS k, c_custkey FROM customer WHERE c_custkey < 40) a JOIN (SELECT CASE WHEN n_nationkey > 5 THEN n_nationkey END AS k FROM nation) b ON a.k <=> b.k",
-    "SELECT a.k AS ak, b.k AS bk FROM (SELECT CASE WHEN c_nationkey > 3 THEN c_nationkey END AS k, c_custkey FROM customer WHERE c_custkey < 40) a JOIN (SELECT CASE WHEN n_nationkey > 5 THEN n_nationkey END AS k FROM nation) b ON a.k IS NOT DISTINCT FROM b.k")
+sql("join_null_safe_equal", "SELECT a.k AS ak, b.k AS bk FROM (SELECT CASE WHEN c_nationkey > 3 THEN c_nationkey END AS k, c_custkey FROM customer) a JOIN (SELECT CASE WHEN n_nationkey > 5 THEN n_nationkey END AS k FROM nation) b ON a.k <=> b.k",
+    "SELECT a.k AS ak, b.k AS bk FROM (SELECT CASE WHEN c_nationkey > 3 THEN c_nationkey END AS k, c_custkey FROM customer) a JOIN (SELECT CASE WHEN n_nationkey > 5 THEN n_nationkey END AS k FROM nation) b ON a.k IS NOT DISTINCT FROM b.k")
 sql("join_using_self", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
 sql("join_scalar_subquery", "SELECT o_orderkey FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)")
 sql("join_lateral", "SELECT n_nationkey, t.c_custkey FROM nation, LATERAL (SELECT c_custkey FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 8000) t")

@@ -14,11 +14,14 @@ sql("filter_in_list", "SELECT p_partkey FROM part WHERE p_size IN (1, 5, 9, 13,
 sql("filter_not_in_list", "SELECT p_partkey FROM part WHERE p_size NOT IN (1, 5, 9)")
 sql("filter_pushed_range", "SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01 00:00:00' AND o_orderdate < TIMESTAMP '1996-04-01 00:00:00'")
 sql("filter_like_chain", "SELECT p_partkey FROM part WHERE p_name LIKE '%a%' AND p_type NOT LIKE 'PROMO%'")
+sql("project_array_struct_fields", "SELECT c_custkey, array_join(transform(x.q, e -> CAST(e AS STRING)), ',') AS q FROM (SELECT c_custkey, transform(sequence(1, 3), i -> named_struct('p', i, 'q', c_nationkey + i)) AS x FROM customer) t",
+    "SELECT c_custkey, array_to_string([CAST(c_nationkey + i AS VARCHAR) for i in [1, 2, 3]], ',') AS q FROM customer")
+sql("project_raise_error", "SELECT c_custkey, CASE WHEN c_custkey < 0 THEN raise_error('a negative key') ELSE c_name END AS v FROM customer", "SELECT c_custkey, c_name AS v FROM customer")
 sql("values_rows", "SELECT a, b FROM (VALUES (1, 'x'), (2, 'y'), (3, NULL)) AS t(a, b)")
 sql("generate_explode", "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, explode(split(text, '\\n')) AS line FROM documents) t GROUP BY doc_id",
     "SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) t GROUP BY doc_id")
-sql("generate_posexplode", "SELECT vec_id, pos, round(v, 5) AS v FROM (SELECT vec_id, posexplode(slice(embedding, 1, 4)) AS (pos, v) FROM embeddings) t",
-    "SELECT vec_id, CAST(i - 1 AS INT) AS pos, round(embedding[i], 5) AS v FROM embeddings, (SELECT unnest([1, 2, 3, 4]) AS i) t")
+sql("generate_posexplode", "SELECT vec_id, pos, round(v, 5) AS v FROM (SELECT vec_id, posexplode(embedding) AS (pos, v) FROM embeddings) t",
+    "SELECT vec_id, CAST(i - 1 AS INT) AS pos, round(embedding[i], 5) AS v FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) t")
 sql("generate_stack", "SELECT n_nationkey, k, v FROM nation LATERAL VIEW stack(2, 'key', CAST(n_nationkey AS STRING), 'name', n_name) t AS k, v",
     "SELECT n_nationkey, 'key' AS k, CAST(n_nationkey AS VARCHAR) AS v FROM nation UNION ALL SELECT n_nationkey, 'name', n_name FROM nation")
 sql("generate_inline", "SELECT r_regionkey, a, b FROM region LATERAL VIEW inline(array(struct(r_name AS a, 1 AS b), struct('x' AS a, 2 AS b))) t AS a, b",
