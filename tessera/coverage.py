@@ -83,13 +83,13 @@ OPERATORS: dict[int, tuple[str, ...]] = {
     74: ("stream_window_session", "stream_join_interval"),
     75: ("stream_group_aggregate",),
     76: ("stream_group_aggregate",),
-    77: ("stream_window_tumbling",),
+    77: ("stream_window_tumbling", "stream_window_hopping", "stream_late_rows"),
     78: ("stream_window_tumbling", "stream_window_hopping", "stream_window_cumulate"),
-    79: ("stream_join_interval", "stream_join_static"),
-    80: ("stream_join_interval",),
-    81: ("stream_keep_first",),
+    79: ("stream_join_interval", "stream_join_interval_outer", "stream_join_static"),
+    80: ("stream_join_window",),
+    81: ("stream_keep_first", "stream_top_n"),
     82: ("stream_stateful_operator",),
-    83: ("stream_source_rate_and_memory",),
+    83: ("stream_source_rate", "stream_source_rate_and_memory"),
     84: ("stream_calc", "stream_filter_mod"),
     85: ("stream_late_rows",),
     86: ("udf_name_mapped_to_builtin", "udf_sql_function"),

@@ -6,6 +6,7 @@ folder, with its checkpoint beside it, and reads the folder back.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
@@ -57,19 +58,21 @@ def stream_group_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(replay(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("a")), "group", "complete")
 
 
-_BUCKET = "SELECT CAST(floor(epoch(ts)) AS BIGINT) // 3600 * 3600 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+#: Seconds of the newest row less the hour that a watermark waits: windows that end later are never emitted.
+_MARK = "(SELECT epoch(max(ts)) - 3600 FROM events)"
 
 
-@query(_BUCKET)
+@query(f"SELECT CAST(floor(epoch(ts)) AS BIGINT) // 3600 * 3600 AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING start + 3600 <= {_MARK}")
 def stream_window_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows are emitted once, when the watermark passes their end; those still open aren't."""
     s = replay(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour"), "event_type").agg(F.count("*").alias("n"))
-    return drain(s.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n"), "tumble", "complete")
+    return drain(s.select(F.unix_timestamp("window.start").alias("start"), "event_type", "n"), "tumble")
 
 
-@query("SELECT (CAST(floor(epoch(ts)) AS BIGINT) // 1800 - i) * 1800 AS start, count(*) AS n FROM events, range(2) t(i) GROUP BY 1")
+@query(f"SELECT (CAST(floor(epoch(ts)) AS BIGINT) // 1800 - i) * 1800 AS start, count(*) AS n FROM events, range(2) t(i) GROUP BY 1 HAVING start + 3600 <= {_MARK}")
 def stream_window_hopping(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = replay(spark, sf_dir).groupBy(F.window("ts", "1 hour", "30 minutes")).agg(F.count("*").alias("n"))
-    return drain(s.select(F.unix_timestamp("window.start").alias("start"), "n"), "hop", "complete")
+    s = replay(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour", "30 minutes")).agg(F.count("*").alias("n"))
+    return drain(s.select(F.unix_timestamp("window.start").alias("start"), "n"), "hop")
 
 
 @query("SELECT (CAST(floor(epoch(ts)) AS BIGINT) // 3600) * 3600 + 1200 * (i + 1) AS upto, count(*) AS n FROM events, range(3) t(i) WHERE CAST(floor(epoch(ts)) AS BIGINT) % 3600 < 1200 * (i + 1) GROUP BY 1")
@@ -80,11 +83,11 @@ def stream_window_cumulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(s.groupBy((F.col("h") + F.col("x")).alias("upto")).agg(F.count("*").alias("n")), "cumulate", "complete")
 
 
-@query("""SELECT user_id, count(*) AS n FROM (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id,
-    CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events) a) b GROUP BY user_id, s""")
+@query("""SELECT user_id, count(*) AS n FROM (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT user_id, ts, event_id,
+    CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events) a) b GROUP BY user_id, s HAVING max(epoch(ts)) + 1800 <= """ + _MARK)
 def stream_window_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = replay(spark, sf_dir).withWatermark("ts", "1 hour").groupBy(F.session_window("ts", "30 minutes"), "user_id").agg(F.count("*").alias("n"))
-    return drain(s.select("user_id", "n"), "session", "complete")
+    return drain(s.select("user_id", "n"), "session")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -102,6 +105,39 @@ def stream_join_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drain(a.join(b, F.expr("ua = ub AND tb BETWEEN ta AND ta + INTERVAL 10 MINUTES")).select("a", "b"), "interval")
 
 
+_CLICKS = "SELECT event_id AS a, user_id AS ua, ts AS ta FROM events WHERE event_type = 'click'"
+_BUYS = "SELECT event_id AS b, user_id AS ub, ts AS tb FROM events WHERE event_type = 'purchase'"
+
+
+def _clicks_and_buys(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    a = replay(spark, sf_dir).where("event_type = 'click'").select(F.col("event_id").alias("a"), F.col("user_id").alias("ua"), F.col("ts").alias("ta"))
+    b = replay(spark, sf_dir).where("event_type = 'purchase'").select(F.col("event_id").alias("b"), F.col("user_id").alias("ub"), F.col("ts").alias("tb"))
+    return a.withWatermark("ta", "1 hour"), b.withWatermark("tb", "1 hour")
+
+
+@query(f"""SELECT a, b FROM ({_CLICKS}) a LEFT JOIN ({_BUYS}) b ON ua = ub AND tb BETWEEN ta AND ta + INTERVAL 10 MINUTE
+    WHERE b IS NOT NULL OR epoch(ta) + 600 < (SELECT least(max(epoch(ta)), (SELECT max(epoch(tb)) FROM ({_BUYS}) y)) - 3600 FROM ({_CLICKS}) x)""")
+def stream_join_interval_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row without a partner is emitted when the watermark of both streams rules one out."""
+    a, b = _clicks_and_buys(spark, sf_dir)
+    return drain(a.join(b, F.expr("ua = ub AND tb BETWEEN ta AND ta + INTERVAL 10 MINUTES"), "left").select("a", "b"), "outer")
+
+
+@query(f"SELECT a, b FROM ({_CLICKS}) a JOIN ({_BUYS}) b ON ua = ub AND CAST(floor(epoch(ta)) AS BIGINT) // 3600 = CAST(floor(epoch(tb)) AS BIGINT) // 3600")
+def stream_join_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams joined on equal windows."""
+    a, b = _clicks_and_buys(spark, sf_dir)
+    a, b = a.withColumn("wa", F.window("ta", "1 hour")), b.withColumn("wb", F.window("tb", "1 hour"))
+    return drain(a.join(b, F.expr("ua = ub AND wa = wb")).select("a", "b"), "same-window")
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 10")
+def stream_top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most frequent keys so far, replaced with every batch."""
+    s = replay(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "user_id").limit(10)
+    return drain(s, "top", "complete")
+
+
 @query("SELECT event_id, c_name FROM events JOIN customer ON user_id = c_custkey WHERE c_nationkey < 10")
 def stream_join_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     side = table(spark, sf_dir, "customer").where("c_nationkey < 10").select("c_custkey", "c_name")
@@ -133,8 +169,32 @@ def stream_source_rate_and_memory(spark: SparkSession, sf_dir: str) -> DataFrame
     return spark.table(name).agg(F.count("*").alias("n"))
 
 
-@query("SELECT count(*) AS n FROM events")
+@query("SELECT i AS value, i % 7 AS k FROM range(100) t(i)")
+def stream_source_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch of the rate source that counts by batch."""
+    path, check = out(spark, "stream-rate"), out(spark, "check-rate")
+    s = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 100).load().select("value", (F.col("value") % 7).alias("k"))
+    q = s.writeStream.format("parquet").option("path", path).option("checkpointLocation", check).trigger(once=True).start()
+    q.awaitTermination()
+    return spark.read.schema(s.schema).parquet(path)
+
+
+_MIDDLE = "(SELECT (epoch(min(ts)) + epoch(max(ts))) / 2 FROM events)"
+
+
+@query(f"SELECT CAST(floor(epoch(ts)) AS BIGINT) // 3600 * 3600 AS start, count(*) AS n FROM events WHERE epoch(ts) >= {_MIDDLE} GROUP BY 1 HAVING start + 3600 <= {_MARK}")
 def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows older than the watermark are told apart before they would be dropped, so none is lost."""
-    s = replay(spark, sf_dir, per_trigger=10).withWatermark("ts", "365 days").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"))
-    return drain(s.select("n"), "late", "complete").agg(F.sum("n").alias("n"))
+    """The newer half of the rows comes first, in two batches: when the older half arrives the watermark has passed it, and it is dropped.
+
+    A batch is held to the watermark that the one before it started with, hence two.
+    """
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = rows.select(F.min("ts").cast("double").alias("lo"), F.max("ts").cast("double").alias("hi")).first()
+    newer = F.col("ts").cast("double") >= (ends.lo + ends.hi) / 2
+    path = out(spark, "replay-late")
+    for part in (rows.where(newer & (F.col("event_id") % 2 == 0)), rows.where(newer & (F.col("event_id") % 2 == 1)), rows.where(~newer)):
+        part.coalesce(1).write.mode("append").parquet(path)
+        time.sleep(1.1)  # files are read in the order of their times
+    s = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    s = s.withWatermark("ts", "1 hour").groupBy(F.window("ts", "1 hour")).agg(F.count("*").alias("n"))
+    return drain(s.select(F.unix_timestamp("window.start").alias("start"), "n"), "late")
