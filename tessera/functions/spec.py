@@ -171,7 +171,7 @@ element_at_last ¦ A ¦ l ¦ element_at(a, -1) ¦ a[-1]
 element_at_map ¦ M ¦ l ¦ element_at(m, 'n') ¦ m['n']
 map ¦ M ¦ l ¦ map('a', k)['a'] ¦ k
 map_concat ¦ M ¦ a ¦ map_values(map_concat(m, map('z', 5L))) ¦ [m['n'], m['c'], 5]
-map_contains_key ¦ M ¦ b ¦ map_contains_key(m, 'n') ¦ TRUE
+map_contains_key ¦ M ¦ b ¦ map_contains_key(m, IF(k % 2 = 0, 'n', 'z')) ¦ k % 2 = 0
 map_entries ¦ M ¦ a ¦ transform(map_entries(m), x -> concat(x.key, '=', x.value)) ¦ [concat('n=', m['n']), concat('c=', m['c'])]
 map_from_arrays ¦ M ¦ l ¦ map_from_arrays(array('a', 'b'), array(k, 7L))['b'] ¦ 7
 map_from_entries ¦ M ¦ l ¦ map_from_entries(array(struct('a' AS x, k AS y), struct('b' AS x, 8L AS y)))['a'] ¦ k
@@ -263,7 +263,7 @@ current_catalog ¦ 1 ¦ s ¦ current_catalog() ¦ 'spark_catalog'
 current_database ¦ 1 ¦ b ¦ length(current_database()) > 0 ¦ TRUE
 current_schema ¦ 1 ¦ b ¦ current_schema() = current_database() ¦ TRUE
 current_user ¦ 1 ¦ b ¦ length(current_user()) > 0 ¦ TRUE
-equal_null ¦ C ¦ b ¦ equal_null(nullif(i, 3), nullif(i, 3)) ¦ TRUE
+equal_null ¦ C ¦ b ¦ equal_null(nullif(i, 3), nullif(k % 25, 3)) ¦ nullif(i, 3) IS NOT DISTINCT FROM nullif(k % 25, 3)
 input_file_block_length ¦ C ¦ b ¦ input_file_block_length() IS NOT NULL ¦ TRUE
 input_file_block_start ¦ C ¦ b ¦ input_file_block_start() IS NOT NULL ¦ TRUE
 input_file_name ¦ C ¦ b ¦ input_file_name() LIKE '%customer%' ¦ TRUE
@@ -330,7 +330,7 @@ locate ¦ C ¦ l ¦ locate('I', g) ¦ instr(g, 'I')
 lower ¦ C ¦ s ¦ lower(g) ¦ lower(g)
 lpad ¦ C ¦ s ¦ lpad(g, 12, '*') ¦ lpad(g, 12, '*')
 ltrim ¦ C ¦ s ¦ ltrim(concat('  ', g)) ¦ g
-luhn_check ¦ 1 ¦ b ¦ luhn_check('8112189876') AND NOT luhn_check('79927398714') ¦ TRUE
+luhn_check ¦ C ¦ b ¦ luhn_check(CAST(k AS STRING)) ¦ list_sum(list_transform(range(1, length(CAST(k AS VARCHAR)) + 1), lambda p: CASE WHEN p % 2 = 1 THEN CAST(substr(reverse(CAST(k AS VARCHAR)), p, 1) AS INT) ELSE (CAST(substr(reverse(CAST(k AS VARCHAR)), p, 1) AS INT) * 2) // 10 + (CAST(substr(reverse(CAST(k AS VARCHAR)), p, 1) AS INT) * 2) % 10 END)) % 10 = 0
 mask ¦ C ¦ s ¦ mask('AbCD123-@$#') ¦ 'XxXXnnn-@$#'
 octet_length ¦ C ¦ l ¦ octet_length(s) ¦ strlen(s)
 overlay ¦ 1 ¦ s ¦ overlay('Spark SQL' PLACING 'ANSI ' FROM 7 FOR 0) ¦ 'Spark ANSI SQL'
@@ -364,8 +364,8 @@ to_varchar ¦ 1 ¦ s ¦ to_varchar(454.00, '000D00') ¦ '454.00'
 translate ¦ C ¦ s ¦ translate(g, 'BI', '12') ¦ translate(g, 'BI', '12')
 trim ¦ C ¦ s ¦ trim(concat(' ', g, ' ')) ¦ g
 trim_both ¦ C ¦ s ¦ trim(BOTH 'B' FROM g) ¦ trim(g, 'B')
-try_to_binary ¦ 1 ¦ b ¦ try_to_binary('a!', 'base64') IS NULL ¦ TRUE
-try_to_number ¦ 1 ¦ b ¦ try_to_number('foo', '999') IS NULL ¦ TRUE
+try_to_binary ¦ C ¦ s ¦ decode(try_to_binary(IF(i % 2 = 0, 'YWJj', 'a!'), 'base64'), 'utf-8') ¦ CASE WHEN i % 2 = 0 THEN 'abc' END
+try_to_number ¦ C ¦ l ¦ try_to_number(IF(i % 2 = 0, CAST(i AS STRING), 'x'), '99') ¦ CASE WHEN i % 2 = 0 THEN i END
 ucase ¦ C ¦ s ¦ ucase(g) ¦ upper(g)
 unbase64 ¦ C ¦ s ¦ decode(unbase64(base64(s)), 'UTF-8') ¦ s
 upper ¦ C ¦ s ¦ upper(s) ¦ upper(s)
@@ -376,7 +376,7 @@ parse_url ¦ P ¦ s ¦ parse_url(u, 'HOST') ¦ regexp_extract(u, '^[a-z]+://([^/
 url_decode ¦ 1 ¦ s ¦ url_decode('https%3A%2F%2Fspark.apache.org') ¦ 'https://spark.apache.org'
 url_encode ¦ 1 ¦ s ¦ url_encode('https://spark.apache.org') ¦ 'https%3A%2F%2Fspark.apache.org'
 xpath ¦ C ¦ a ¦ xpath(concat('<a><b>', i, '</b><b>2</b></a>'), 'a/b/text()') ¦ [CAST(i AS VARCHAR), '2']
-xpath_boolean ¦ C ¦ b ¦ xpath_boolean('<a><b>1</b></a>', 'a/b') ¦ TRUE
+xpath_boolean ¦ C ¦ b ¦ xpath_boolean(concat('<a><b>', i, '</b></a>'), 'a/b > 5') ¦ i > 5
 xpath_double ¦ C ¦ d ¦ xpath_double(concat('<a><b>', i, '</b><b>2</b></a>'), 'sum(a/b)') ¦ i + 2
 xpath_float ¦ C ¦ d ¦ xpath_float(concat('<a><b>', i, '</b><b>2</b></a>'), 'sum(a/b)') ¦ i + 2
 xpath_int ¦ C ¦ l ¦ xpath_int(concat('<a><b>', i, '</b><b>2</b></a>'), 'sum(a/b)') ¦ i + 2
@@ -388,7 +388,7 @@ xpath_string ¦ C ¦ s ¦ xpath_string(concat('<a><b>', g, '</b></a>'), 'a/b') 
 
 AGGREGATES = r"""
 any ¦ C ¦ b ¦ any(i = 3) ¦ bool_or(i = 3)
-any_value ¦ C ¦ b ¦ any_value(k) IS NOT NULL ¦ TRUE
+any_value ¦ C ¦ s ¦ any_value(IF(k % 3 = 0, g, NULL), true) ¦ max(CASE WHEN k % 3 = 0 THEN g END)
 approx_count_distinct ¦ C ¦ b ¦ abs(approx_count_distinct(k) / count(DISTINCT k) - 1) < 0.15 ¦ TRUE
 approx_percentile ¦ C ¦ b ¦ approx_percentile(k, 0.5) BETWEEN percentile(k, 0.4) AND percentile(k, 0.6) ¦ TRUE
 array_agg ¦ C ¦ a ¦ sort_array(array_agg(i)) ¦ list_sort(list(i))
@@ -405,26 +405,26 @@ collect_set ¦ C ¦ a ¦ sort_array(collect_set(i)) ¦ list_sort(list(DISTINCT i
 corr ¦ L ¦ d ¦ corr(q, d) ¦ corr(q, d)
 count ¦ C ¦ l ¦ count(nullif(i, 3)) ¦ count(nullif(i, 3))
 count_if ¦ C ¦ l ¦ count_if(i > 10) ¦ count_if(i > 10)
-count_min_sketch ¦ C ¦ b ¦ length(count_min_sketch(k, 0.5D, 0.5D, 1)) > 0 ¦ TRUE
+count_min_sketch ¦ C ¦ l ¦ conv(hex(substring(count_min_sketch(k, 0.5D, 0.5D, 1), 5, 8)), 16, 10) ¦ count(k)
 covar_pop ¦ L ¦ d ¦ covar_pop(e, t) ¦ covar_pop(e, t)
 covar_samp ¦ L ¦ d ¦ covar_samp(e, t) ¦ covar_samp(e, t)
 every ¦ C ¦ b ¦ every(i >= 0) ¦ bool_and(i >= 0)
-first ¦ C ¦ b ¦ first(k) IS NOT NULL ¦ TRUE
-first_value ¦ C ¦ b ¦ first_value(k) IS NOT NULL ¦ TRUE
+first ¦ C ¦ s ¦ first(IF(k % 3 = 0, g, NULL), true) ¦ max(CASE WHEN k % 3 = 0 THEN g END)
+first_value ¦ C ¦ s ¦ first_value(IF(k % 3 = 1, g, NULL), true) ¦ max(CASE WHEN k % 3 = 1 THEN g END)
 histogram_numeric ¦ C ¦ l ¦ size(histogram_numeric(d, 5)) ¦ 5
 hll_sketch_agg ¦ C ¦ b ¦ abs(hll_sketch_estimate(hll_sketch_agg(k)) / count(DISTINCT k) - 1) < 0.1 ¦ TRUE
 hll_sketch_estimate ¦ C ¦ b ¦ hll_sketch_estimate(hll_sketch_agg(k, 12)) > 10 ¦ TRUE
 hll_union ¦ C ¦ b ¦ hll_sketch_estimate(hll_union(hll_sketch_agg(k), hll_sketch_agg(i))) > 10 ¦ TRUE
 kurtosis ¦ L ¦ d ¦ kurtosis(q) ¦ kurtosis_pop(q)
-last ¦ C ¦ b ¦ last(k) IS NOT NULL ¦ TRUE
-last_value ¦ C ¦ b ¦ last_value(k) IS NOT NULL ¦ TRUE
+last ¦ C ¦ s ¦ last(IF(k % 3 = 0, g, NULL), true) ¦ max(CASE WHEN k % 3 = 0 THEN g END)
+last_value ¦ C ¦ s ¦ last_value(IF(k % 3 = 2, g, NULL), true) ¦ max(CASE WHEN k % 3 = 2 THEN g END)
 max ¦ C ¦ d ¦ max(d) ¦ max(d)
 max_by ¦ C ¦ l ¦ max_by(k, d * 1000000 + k) ¦ max_by(k, d * 1000000 + k)
 mean ¦ C ¦ d ¦ mean(d) ¦ avg(d)
 median ¦ C ¦ d ¦ median(d) ¦ median(d)
 min ¦ C ¦ d ¦ min(d) ¦ min(d)
 min_by ¦ C ¦ l ¦ min_by(k, d * 1000000 + k) ¦ min_by(k, d * 1000000 + k)
-mode ¦ L ¦ b ¦ mode(q) BETWEEN 1 AND 50 ¦ TRUE
+mode ¦ L ¦ l ¦ mode(CASE WHEN q <= 30 THEN 7 ELSE CAST(q AS INT) END) ¦ mode(CASE WHEN q <= 30 THEN 7 ELSE CAST(q AS INT) END)
 percentile ¦ C ¦ d ¦ percentile(d, 0.3) ¦ quantile_cont(d, 0.3)
 percentile_approx ¦ C ¦ b ¦ percentile_approx(k, 0.25, 1000) BETWEEN percentile(k, 0.15) AND percentile(k, 0.35) ¦ TRUE
 regr_avgx ¦ L ¦ d ¦ regr_avgx(d, q) ¦ regr_avgx(d, q)
