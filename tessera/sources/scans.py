@@ -6,6 +6,8 @@ Table formats and brokers that need a package beyond Spark's own (``CONNECTORS``
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,8 +105,12 @@ def scan_cached(spark: SparkSession, sf_dir: str) -> DataFrame:
 def scan_cached_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """CACHE TABLE over a selection, the SQL form of warming a cache."""
     table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    spark.sql("CACHE LAZY TABLE tessera_warm AS SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
-    return spark.sql("SELECT count(*) AS n FROM tessera_warm")
+    name = f"tessera_warm_{crc32(sf_dir.encode()):08x}"  # one cache a folder
+    if spark.catalog.tableExists(name):
+        spark.sql(f"UNCACHE TABLE {name}")
+        spark.catalog.dropTempView(name)
+    spark.sql(f"CACHE LAZY TABLE {name} AS SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'")
+    return spark.sql(f"SELECT count(*) AS n FROM {name}")
 
 
 @query("SELECT count(*) AS n, TRUE AS named FROM nation")
