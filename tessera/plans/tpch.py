@@ -97,3 +97,13 @@ sql(
     WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)
     GROUP BY c_nationkey""",
 )
+# Late is a line shipped over 90 days after its order: the tables have no dates of commitment or receipt.
+sql(
+    "tpch_q21",
+    """SELECT s_name, count(*) AS numwait FROM supplier JOIN lineitem l1 ON s_suppkey = l1.l_suppkey JOIN orders ON o_orderkey = l1.l_orderkey JOIN nation ON s_nationkey = n_nationkey
+    WHERE o_orderstatus = 'F' AND l1.l_shipdate > o_orderdate + INTERVAL '90' DAY AND n_regionkey < 3
+    AND EXISTS (SELECT 1 FROM lineitem l2 WHERE l2.l_orderkey = l1.l_orderkey AND l2.l_suppkey <> l1.l_suppkey)
+    AND NOT EXISTS (SELECT 1 FROM lineitem l3 JOIN orders o3 ON o3.o_orderkey = l3.l_orderkey
+        WHERE l3.l_orderkey = l1.l_orderkey AND l3.l_suppkey <> l1.l_suppkey AND l3.l_shipdate > o3.o_orderdate + INTERVAL '90' DAY)
+    GROUP BY s_name""",
+)
