@@ -29,7 +29,7 @@ from tessera.llm.common import python_batches, ship, texts, tidy, trim
 #: Longest word, in bytes, that is held as a row of ranks.
 SHORT = 64
 #: Distinct white-space separated chunks whose ids a worker remembers (two generations of half as many).
-CACHE = 240_000
+CACHE = 480_000
 #: Characters of a text that are encoded at once; cut at a space.
 SLICE = 1 << 20
 _NONE = np.int32(2**31 - 1)
