@@ -18,9 +18,11 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
@@ -32,6 +34,10 @@ SHORT = 64
 CACHE = 480_000
 #: Characters of a text that are encoded at once; cut at a space.
 SLICE = 1 << 20
+#: Characters of texts whose distinct chunks are encoded together where ids are all that is asked for.
+TOGETHER = 1 << 23
+#: Bits of a slot in the table of pairs: about 21 slots a pair of a vocabulary of 49,152.
+SLOT_BITS = 20
 _NONE = np.int32(2**31 - 1)
 
 
@@ -67,6 +73,10 @@ class WordBpe:
             for r, (a, b) in enumerate(pairs):  # a left part never carries the suffix
                 assert not a.endswith(end), (r, a, b)
         self.pairs = dict(zip(keys.tolist(), range(len(keys)), strict=True))
+        slot = _slot(self.keys)
+        self.place = np.full(1 << SLOT_BITS, -1, np.int32)  # of a slot's one pair; -1: it has none, -2: several
+        self.place[slot] = np.arange(len(slot), dtype=np.int32)
+        self.place[np.bincount(slot, minlength=1 << SLOT_BITS) > 1] = -2
         whole = Tokenizer.from_file(path)
         self.normalizer, self.splitter = whole.normalizer, whole.pre_tokenizer
         del spec, vocab, pairs, keys, whole
@@ -74,23 +84,33 @@ class WordBpe:
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs, by a table of slots; pairs in a slot that several share are searched for."""
         key = left.astype(np.int64) << 32 | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.ranks[at], _NONE)
+        at = self.place[_slot(key)]
+        if (several := at == -2).any():
+            at[several] = np.minimum(np.searchsorted(self.keys, key[several]), len(self.keys) - 1)
+        out = np.full(key.shape, _NONE, np.int32)
+        some = np.nonzero(at >= 0)
+        at = at[some]
+        out[some] = np.where(self.keys[at] == key[some], self.ranks[at], _NONE)
+        return out
 
     def merge_short(self, words: list[bytes]) -> list[bytes]:
         """Ids, as little-endian unsigned 32-bit bytes, of words that all have the same length."""
-        out: list = [b""] * len(words)
-        raw = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+        pool, size = self.merge_rows(np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1))
+        flat = pool.tobytes()
+        return [flat[lo:hi] for lo, hi in pairwise((4 * np.r_[0, np.cumsum(size)]).tolist())]
+
+    def merge_rows(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words that are rows of bytes, one word after another, and their numbers."""
+        out, size = np.zeros(raw.shape, "<u4"), np.zeros(len(raw), np.int64)
         ids = self.first[raw]
         ids[:, -1] = self.last[raw[:, -1]]
-        who = np.arange(len(words))
+        who = np.arange(len(raw))
         ranks = self.rank(ids[:, :-1], ids[:, 1:])
 
         def finish(who: np.ndarray, ids: np.ndarray) -> None:
-            flat, step = ids.astype("<u4").tobytes(), 4 * ids.shape[1]
-            for k, w in enumerate(who.tolist()):
-                out[w] = flat[k * step : (k + 1) * step]
+            out[who, : ids.shape[1]], size[who] = ids, ids.shape[1]
 
         while len(who) and ids.shape[1] > 1:
             at = ranks.argmin(1)
@@ -111,7 +131,7 @@ class WordBpe:
                 right = np.flatnonzero(at < n - 2)
                 ranks[right, at[right]] = self.rank(ids[right, at[right]], ids[right, at[right] + 1])
         finish(who, ids)
-        return out
+        return out[np.arange(raw.shape[1]) < size[:, None]], size
 
     def merge_long(self, word: bytes) -> bytes:
         """The same for one word of any length, by a heap of pairs over linked parts."""
@@ -165,6 +185,51 @@ class WordBpe:
             known.update(zip(found, self.merge_short(found) if size <= SHORT else map(self.merge_long, found), strict=True))
         return {c: known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w]) for c, w in cut.items()}
 
+    def encode_distinct(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of these chunks, one chunk after another, and their numbers; an empty chunk has none."""
+        words, n = [], np.zeros(len(chunks), np.int64)
+        for k, c in enumerate(chunks):
+            if c:
+                found = [c] if c[0] == " " else self.split(c)
+                words += found
+                n[k] = len(found)
+        named = pa.array([w if w.__class__ is bytes else w.encode() for w in words], pa.large_binary()).dictionary_encode()
+        distinct, at = named.dictionary, named.indices.to_numpy()
+        lo = np.frombuffer(distinct.buffers()[1], np.int64)[distinct.offset :][: len(distinct) + 1]
+        data, length = np.frombuffer(distinct.buffers()[2] or b"", np.uint8), np.diff(lo)
+        is_special = data[lo[:-1]] == 32  # no other word has a space
+        order, pools, sizes = [], [], []
+        for size in np.unique(length[~is_special & (length <= SHORT)]).tolist():
+            rows = np.flatnonzero((length == size) & ~is_special)
+            pool, n_ids = self.merge_rows(data[lo[rows][:, None] + np.arange(size)])
+            order.append(rows), pools.append(pool), sizes.append(n_ids)
+        for k in np.flatnonzero(is_special | (length > SHORT)).tolist():
+            w = distinct[k].as_py()
+            pool = np.array([self.special[w[1:].decode()]], "<u4") if is_special[k] else np.frombuffer(self.merge_long(w), "<u4")
+            order.append(np.array([k])), pools.append(pool), sizes.append(np.array([len(pool)]))
+        if not order:
+            return np.zeros(0, "<u4"), n
+        order, pool, size = np.concatenate(order), np.concatenate(pools), np.concatenate(sizes)
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        ids, sums = gathered(pool, size, back[at])
+        return ids, np.diff(sums[np.r_[0, np.cumsum(n)]])
+
+    def joined(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit bytes; of all their chunks only distinct ones are encoded."""
+        plain = np.array([self.as_is(t) for t in texts], bool)
+        cut = pc.utf8_split_whitespace(pc.utf8_lower(pa.array([t for t, p in zip(texts, plain, strict=True) if p], pa.large_string())))
+        lists = [self.chunks(t) for t, p in zip(texts, plain, strict=True) if not p]
+        n = np.empty(len(texts), np.int64)
+        n[plain], n[~plain] = cut.value_lengths().to_numpy(), [len(x) for x in lists]
+        flat = pa.concat_arrays([cut.flatten(), pa.array(list(chain.from_iterable(lists)), pa.large_string())]).dictionary_encode()
+        ids, sums = gathered(*self.encode_distinct(flat.dictionary.to_pylist()), flat.indices.to_numpy())
+        order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
+        raw, out = ids.tobytes(), [b""] * len(texts)
+        for k, (lo, hi) in zip(order.tolist(), pairwise((4 * sums[np.r_[0, np.cumsum(n[order])]]).tolist()), strict=True):
+            out[k] = raw[lo:hi]
+        return out
+
     def chunks(self, text: str) -> list[str]:
         """A text as chunks between white space, normalised; special tokens are chunks of their own."""
         if self.cut and "<|" in text:
@@ -174,6 +239,10 @@ class WordBpe:
             return out
         return self.plain(text)
 
+    def as_is(self, text: str) -> bool:
+        """Whether a text is lowered and split at white space without the normalizer and special tokens."""
+        return (text.isascii() or _latin1(text)) and not _ODD.search(text) and not (self.cut and "<|" in text)
+
     def plain(self, text: str) -> list[str]:
         # Latin-1 text is in NFC as it stands; Python takes \x1c to \x1f as white space, the normalizer doesn't.
         if (text.isascii() or _latin1(text)) and not _ODD.search(text):
@@ -184,6 +253,17 @@ class WordBpe:
 _ODD = re.compile("[\x1c-\x1f]")
 
 
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
+
+
+def gathered(pool: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs number ``at`` of a pool of runs of these sizes, one after another, and where each begins and the last ends."""
+    n = size[at]
+    sums = np.r_[0, np.cumsum(n)]
+    return pool[np.repeat((np.cumsum(size) - size)[at] - sums[:-1], n) + np.arange(sums[-1])], sums
+
+
 def _latin1(text: str) -> bool:
     try:
         text.encode("latin-1")
@@ -235,13 +315,15 @@ def slices(text: str) -> Iterator[str]:
 def encoded(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
     """(ids, token ids as little-endian unsigned 32-bit bytes) of (doc_id, text) batches."""
     bpe = load(path)
-    gc.disable()  # nothing here is cyclic, and the remembered chunks are many
-    cache = Remembered(bpe, bytes)
-    for ids, docs in python_batches(batches):
-        out = []
-        for group in _small_groups(bpe, docs):
-            out += map(b"".join, cache.rendered(group))
-        yield ids, _joined(docs, out, b"")
+    for ids, docs in python_batches(batches, TOGETHER):
+        out, group, held = [], [], 0
+        for s in chain.from_iterable(map(slices, docs)):
+            group.append(s)
+            held += len(s)
+            if held > TOGETHER:
+                out += bpe.joined(group)
+                group, held = [], 0
+        yield ids, _joined(docs, out + bpe.joined(group), b"")
 
 
 def _small_groups(bpe: WordBpe, docs: list[str]) -> Iterator[list[list[str]]]:
@@ -299,7 +381,7 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         bpe = load(path)
-        gc.disable()
+        gc.disable()  # nothing here is cyclic, and the remembered chunks are many
         token = bpe.token.__getitem__
         cache = Remembered(bpe, lambda x: (" ".join(map(str, x := np.frombuffer(x, "<u4").tolist())), " ".join(map(token, x))))
         for ids, docs in python_batches(batches):
