@@ -24,7 +24,10 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (5-word similarity of at least 0.8) one row with the smallest doc_id stays."""
+    """Of each group of near duplicates one row with the smallest doc_id stays.
+
+    Links are SimHash fingerprints of at most 2 differing bits, found by pigeonring, and 5-word similarities of at least 0.8.
+    """
     return near_dups.deduplicated(docs)
 
 
