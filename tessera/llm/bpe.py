@@ -35,7 +35,7 @@ CACHE = 480_000
 #: Characters of a text that are encoded at once; cut at a space.
 SLICE = 1 << 20
 #: Characters of texts whose distinct chunks are encoded together where ids are all that is asked for.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 22
 #: Bits of a slot in the table of pairs: about 21 slots a pair of a vocabulary of 49,152.
 SLOT_BITS = 20
 _NONE = np.int32(2**31 - 1)
@@ -222,7 +222,8 @@ class WordBpe:
         lists = [self.chunks(t) for t, p in zip(texts, plain, strict=True) if not p]
         n = np.empty(len(texts), np.int64)
         n[plain], n[~plain] = cut.value_lengths().to_numpy(), [len(x) for x in lists]
-        flat = pa.concat_arrays([cut.flatten(), pa.array(list(chain.from_iterable(lists)), pa.large_string())]).dictionary_encode()
+        flat = pa.chunked_array([cut.flatten(), pa.array(list(chain.from_iterable(lists)), pa.large_string())]).dictionary_encode().combine_chunks()
+        del cut
         ids, sums = gathered(*self.encode_distinct(flat.dictionary.to_pylist()), flat.indices.to_numpy())
         order = np.r_[np.flatnonzero(plain), np.flatnonzero(~plain)]
         raw, out = ids.tobytes(), [b""] * len(texts)
@@ -261,7 +262,10 @@ def gathered(pool: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.nda
     """The runs number ``at`` of a pool of runs of these sizes, one after another, and where each begins and the last ends."""
     n = size[at]
     sums = np.r_[0, np.cumsum(n)]
-    return pool[np.repeat((np.cumsum(size) - size)[at] - sums[:-1], n) + np.arange(sums[-1])], sums
+    kind = np.int32 if max(len(pool), sums[-1]) < 2**31 else np.int64
+    where = np.repeat(((np.cumsum(size) - size)[at] - sums[:-1]).astype(kind), n)
+    where += np.arange(sums[-1], dtype=kind)
+    return pool[where], sums
 
 
 def _latin1(text: str) -> bool:
