@@ -17,7 +17,6 @@ sql("join_right_outer", f"SELECT c_custkey, o_orderkey FROM customer RIGHT JOIN
 sql("join_full_outer", f"SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON {_CO}")
 sql("join_left_semi", f"SELECT c_custkey, c_name FROM customer LEFT SEMI JOIN orders ON {_CO}", f"SELECT c_custkey, c_name FROM customer SEMI JOIN orders ON {_CO}")
 sql("join_left_anti", f"SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON {_CO}", f"SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON {_CO}")
-sql("join_null_aware_anti", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT CASE WHEN l_partkey > 10 THEN l_partkey ELSE 11 END FROM lineitem)")
 sql("join_null_aware_anti_with_null", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT CASE WHEN l_partkey > 10 THEN l_partkey END FROM lineitem)")
 sql("join_existence", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') OR c_acctbal > 9000 AS flagged FROM customer")
 sql("join_residual_condition", "SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_extendedprice > o_totalprice / 3")
@@ -35,6 +34,24 @@ sql("join_lateral", "SELECT n_nationkey, t.c_custkey FROM nation, LATERAL (SELEC
 sql("join_any_dedup", "SELECT o_orderkey, t.m FROM orders LEFT JOIN (SELECT c_custkey, max(c_acctbal) AS m FROM customer GROUP BY c_custkey) t ON o_custkey = t.c_custkey")
 
 
+def null_aware_anti(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """Rows of left whose key is NOT IN right's: none if one of those is null, and a null key only beside none at all.
+
+    Spark runs NOT IN as a broadcast of the whole right side, which the driver must hold. Here its distinct
+    keys are shuffled, and only a row with their number and their nulls is broadcast.
+    """
+    keys = right.select(F.col(other).alias("_key"))
+    facts = keys.agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_key").isNull()).alias("_nulls"))
+    rows = left.crossJoin(F.broadcast(facts)).where((F.col("_n") == 0) | ((F.col("_nulls") == 0) & F.col(key).isNotNull()))
+    return rows.join(keys.distinct().hint("merge"), F.col(key) == F.col("_key"), "left_anti").drop("_n", "_nulls")
+
+
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT CASE WHEN l_partkey > 10 THEN l_partkey ELSE 11 END FROM lineitem)")
+def join_null_aware_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "lineitem").select(F.expr("CASE WHEN l_partkey > 10 THEN l_partkey ELSE 11 END AS k"))
+    return null_aware_anti(table(spark, sf_dir, "part").select("p_partkey"), keys, "p_partkey", "k")
+
+
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Inner join on low <= point <= high: intervals are filed under each bin of ``width`` they touch.
 
