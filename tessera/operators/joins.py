@@ -17,7 +17,6 @@ sql("join_right_outer", f"SELECT c_custkey, o_orderkey FROM customer RIGHT JOIN
 sql("join_full_outer", f"SELECT c_custkey, o_orderkey FROM customer FULL JOIN orders ON {_CO}")
 sql("join_left_semi", f"SELECT c_custkey, c_name FROM customer LEFT SEMI JOIN orders ON {_CO}", f"SELECT c_custkey, c_name FROM customer SEMI JOIN orders ON {_CO}")
 sql("join_left_anti", f"SELECT c_custkey, c_name FROM customer LEFT ANTI JOIN orders ON {_CO}", f"SELECT c_custkey, c_name FROM customer ANTI JOIN orders ON {_CO}")
-sql("join_null_aware_anti_with_null", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT CASE WHEN l_partkey > 10 THEN l_partkey END FROM lineitem)")
 sql("join_existence", "SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') OR c_acctbal > 9000 AS flagged FROM customer")
 sql("join_residual_condition", "SELECT l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_extendedprice > o_totalprice / 3")
 sql("join_nested_loop_inner", "SELECT s_suppkey, n_nationkey FROM supplier JOIN nation ON s_acctbal > n_nationkey * 350")
@@ -52,6 +51,12 @@ def join_null_aware_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return null_aware_anti(table(spark, sf_dir, "part").select("p_partkey"), keys, "p_partkey", "k")
 
 
+@query("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT CASE WHEN l_partkey > 10 THEN l_partkey END FROM lineitem)")
+def join_null_aware_anti_with_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = table(spark, sf_dir, "lineitem").select(F.expr("CASE WHEN l_partkey > 10 THEN l_partkey END AS k"))
+    return null_aware_anti(table(spark, sf_dir, "part").select("p_partkey"), keys, "p_partkey", "k")
+
+
 def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Inner join on low <= point <= high: intervals are filed under each bin of ``width`` they touch.
 

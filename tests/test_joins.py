@@ -18,7 +18,7 @@ def test_null_aware_anti_is_not_in(spark, right):
     assert sorted(joins.null_aware_anti(a, b, "a", "b").collect(), key=str) == sorted(expected, key=str)
 
 
-@pytest.mark.parametrize("name", ["join_null_aware_anti"])
+@pytest.mark.parametrize("name", ["join_null_aware_anti", "join_null_aware_anti_with_null"])
 def test_null_aware_anti_broadcasts_one_row(spark, name):
     df = catalog.queries()[name](spark, SF)
     df.collect()
