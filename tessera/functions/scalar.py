@@ -3,7 +3,7 @@
 ``SPEC`` has a line a function: name, view, kind of value, Spark expression and, where the oracle's
 dialect differs, its expression. Kinds are l (whole number), d (number, rounded), s (text), b (truth
 value) and a (array, compared as text). Views are the tables under short names; view 1 is a single row,
-for functions that are held against a stated value.
+for functions that are held against a stated value, and CD has distinct keys, for sketches beside an exact count.
 """
 
 from __future__ import annotations
@@ -14,6 +14,10 @@ from tessera.registry import sql
 _VIEWS = {
     "1": ("SELECT 1 AS k", None),
     "C": ("SELECT c_custkey AS k, c_name AS s, c_acctbal AS d, c_nationkey AS i, c_mktsegment AS g FROM customer", None),
+    "CD": (
+        "SELECT DISTINCT c_custkey AS k, c_mktsegment AS g FROM customer",
+        "SELECT c_custkey AS k, c_name AS s, c_acctbal AS d, c_nationkey AS i, c_mktsegment AS g FROM customer",
+    ),
     "O": ("SELECT o_orderkey AS k, o_orderdate AS ts, CAST(o_orderdate AS DATE) AS dt, o_totalprice AS d, o_custkey AS i, o_orderpriority AS s FROM orders", None),
     "E": ("SELECT event_id AS k, ts, user_id AS i, value AS d, props AS j, event_type AS s FROM events", None),
     "A": (

@@ -66,5 +66,9 @@ def agg_drop_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT TRUE AS within")
 def agg_approx_distinct_error(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sketch lies within 5 percent of the exact count."""
-    return table(spark, sf_dir, "orders").agg((F.abs(F.approx_count_distinct("o_custkey", 0.01) / F.count_distinct("o_custkey") - 1) < 0.05).alias("within"))
+    """The sketch lies within 5 percent of the exact count.
+
+    Both are taken of the distinct keys: beside count(DISTINCT) Spark would shuffle a sketch for each key.
+    """
+    keys = table(spark, sf_dir, "orders").select("o_custkey").distinct()
+    return keys.agg((F.abs(F.approx_count_distinct("o_custkey", 0.01) / F.count("o_custkey") - 1) < 0.05).alias("within"))
