@@ -24,7 +24,6 @@ sql("join_nested_loop_left", "SELECT n_nationkey, r_regionkey FROM nation LEFT J
 sql("join_nested_loop_semi", "SELECT s_suppkey FROM supplier WHERE EXISTS (SELECT 1 FROM nation WHERE n_nationkey * 400 > s_acctbal)")
 sql("join_nested_loop_full", "SELECT n_nationkey, r_regionkey FROM nation FULL JOIN region ON n_regionkey + r_regionkey > 7 AND n_nationkey > 10")
 sql("join_cartesian_regions", "SELECT r1.r_name AS a, r2.r_name AS b FROM region r1 CROSS JOIN region r2")
-sql("join_range_condition", "SELECT s_suppkey, p_partkey FROM supplier JOIN part ON s_nationkey = p_size AND p_retailprice BETWEEN s_acctbal - 500 AND s_acctbal + 500")
 sql("join_null_safe_equal", "SELECT a.k AS ak, b.k AS bk FROM (SELECT CASE WHEN c_nationkey > 3 THEN c_nationkey END AS k, c_custkey FROM customer) a JOIN (SELECT CASE WHEN n_nationkey > 5 THEN n_nationkey END AS k FROM nation) b ON a.k <=> b.k",
     "SELECT a.k AS ak, b.k AS bk FROM (SELECT CASE WHEN c_nationkey > 3 THEN c_nationkey END AS k, c_custkey FROM customer) a JOIN (SELECT CASE WHEN n_nationkey > 5 THEN n_nationkey END AS k FROM nation) b ON a.k IS NOT DISTINCT FROM b.k")
 sql("join_using_self", "SELECT a.n_name AS a, b.n_name AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey")
@@ -57,16 +56,22 @@ def join_null_aware_anti_with_null(spark: SparkSession, sf_dir: str) -> DataFram
     return null_aware_anti(table(spark, sf_dir, "part").select("p_partkey"), keys, "p_partkey", "k")
 
 
-def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, keys: tuple[str, ...] = ()) -> DataFrame:
+def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float, keys: tuple[str, ...] = (), spread: int = 16) -> DataFrame:
     """Inner join on low <= point <= high: intervals are filed under each bin of ``width`` they touch.
 
-    The equi-join on the bin replaces a nested loop; an interval costs a row a bin, so width should be
-    about the usual length of an interval.
+    The equi-join on the bin replaces a nested loop; an interval costs a row a bin and spread, and pairs that don't
+    match are about width / length of those that do, so width should be a fraction of the usual length of an interval.
+    Points of a bin are spread over ``spread`` groups, so few bins or keys still make many even tasks. Their number
+    is fixed, as the pairs that come out, not the bytes that go in, are the work.
     """
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    on = ["_bin", "_part", *keys]
     bin_ = lambda c: F.floor(F.col(c) / width)
-    a = left.withColumn("_bin", bin_(point))
-    b = right.withColumn("_bin", F.explode(F.sequence(bin_(low), bin_(high))))
-    return a.join(b, ["_bin", *keys]).where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bin")
+    a = left.select("*", bin_(point).alias("_bin"), F.pmod(F.xxhash64(*left.columns), F.lit(spread)).cast("int").alias("_part"))
+    b = right.repartition(tasks, *right.columns).select("*", F.explode(F.sequence(bin_(low), bin_(high))).alias("_bin")).select("*", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))).alias("_part"))
+    pairs = a.repartition(tasks, *on).join(b.repartition(tasks, *on).hint("merge"), on)
+    return pairs.where((F.col(point) >= F.col(low)) & (F.col(point) <= F.col(high))).drop("_bin", "_part")
 
 
 @query("SELECT o_orderkey, s_suppkey FROM orders JOIN supplier ON o_totalprice / 100 BETWEEN s_acctbal AND s_acctbal + 25")
@@ -76,6 +81,13 @@ def join_interval_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return range_join(left, right, "v", "lo", "hi", 25.0).select("o_orderkey", "s_suppkey")
 
 
+@query("SELECT s_suppkey, p_partkey FROM supplier JOIN part ON s_nationkey = p_size AND p_retailprice BETWEEN s_acctbal - 500 AND s_acctbal + 500")
+def join_range_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("k"), "p_retailprice")
+    right = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), (F.col("s_acctbal") - 500).alias("lo"), (F.col("s_acctbal") + 500).alias("hi"))
+    return range_join(left, right, "p_retailprice", "lo", "hi", 100.0, ("k",)).select("s_suppkey", "p_partkey")
+
+
 def asof_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right_time: str, take: list[str]) -> DataFrame:
     """Each left row with the last right row of its key at or before its time.
 
