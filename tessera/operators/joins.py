@@ -78,7 +78,7 @@ def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: st
 def join_interval_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 100).alias("v"))
     right = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_acctbal").alias("lo"), (F.col("s_acctbal") + 25).alias("hi"))
-    return range_join(left, right, "v", "lo", "hi", 25.0).select("o_orderkey", "s_suppkey")
+    return range_join(left, right, "v", "lo", "hi", 5.0).select("o_orderkey", "s_suppkey")
 
 
 @query("SELECT s_suppkey, p_partkey FROM supplier JOIN part ON s_nationkey = p_size AND p_retailprice BETWEEN s_acctbal - 500 AND s_acctbal + 500")
